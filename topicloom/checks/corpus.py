@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from topicloom.checks import table
 from topicloom.functions import text as T
 from topicloom.operators import corpus as C
+from topicloom.scale import checkpoint
 
 
 def _quoted(words) -> str:
@@ -85,24 +86,26 @@ def dedup_groups(spark, sf):
 
 
 def corpus_ids(spark, sf):
-    docs = _docs(spark, sf)
+    docs = checkpoint(_docs(spark, sf))
     return C.id_index(docs, C.corpus_ids(docs))
 
 
 def doc_freq(spark, sf):
-    uniq = C.distinct_docs(_docs(spark, sf))
-    return C.mark_stop_words(C.doc_freq(uniq), uniq)
+    docs = checkpoint(_docs(spark, sf))
+    groups = C.copies(docs)
+    return C.mark_stop_words(C.doc_freq(C.distinct_docs(docs, groups)), groups)
 
 
 def corpus_docs(spark, sf):
-    docs = _docs(spark, sf)
-    corpus = C.corpus_docs(docs, C.corpus_ids(docs))
-    stops = C.mark_stop_words(C.doc_freq(corpus), corpus).filter("is_stop")
+    docs = checkpoint(_docs(spark, sf))
+    ids = C.corpus_ids(docs)
+    corpus = C.corpus_docs(docs, ids)
+    stops = C.mark_stop_words(C.doc_freq(corpus), ids).filter("is_stop")
     return C.strip_stop_words(corpus, stops).select("corpus_id", F.array_join("tokens", " ").alias("body"))
 
 
 def corpus_stats(spark, sf):
-    return C.corpus_stats(_docs(spark, sf))
+    return C.corpus_stats(checkpoint(_docs(spark, sf)))
 
 
 def stemmed_tokens(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
-from topicloom.scale import count_within, ordered_index
+from topicloom.scale import count_within, ordered_index, spread
 
 STOP_SHARE = 5  # a term in more than floor(N / 5) documents is a corpus stop word
 INLINE_STOP_TERMS = 5_000
@@ -23,15 +23,16 @@ def tokenize(
 
     With ``by_paragraph`` every paragraph of two or more tokens is a document ``<id>-<n>``, n counted from 0.
     """
+    docs = spread(docs.select(id_col, text_col), id_col)
     text = F.col(text_col)
     if by_paragraph:
         kept = F.filter(T.paragraph_tokens(text, **options), lambda p: F.size(p) >= 2)
         return docs.select(F.col(id_col).alias("_id"), F.posexplode(kept).alias("_n", "tokens")).select(
             F.concat_ws("-", F.col("_id").cast("string"), F.col("_n").cast("string")).alias("doc_id"), "tokens"
         )
-    return docs.select(F.col(id_col).alias("doc_id"), T.document_tokens(text, **options).alias("tokens")).filter(
-        F.size("tokens") >= 2
-    )
+    # explode of a zero- or one-element array: a plain filter would be pushed down and tokenize twice
+    kept = F.filter(F.array(T.document_tokens(text, **options)), lambda t: F.size(t) >= 2)
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(kept).alias("tokens"))
 
 
 def stem(docs: DataFrame, stems: DataFrame) -> DataFrame:
@@ -54,10 +55,9 @@ def copies(docs: DataFrame, order_col: str = "doc_id") -> DataFrame:
     )
 
 
-def distinct_docs(docs: DataFrame) -> DataFrame:
-    """The first document of each content. Joined on the unique first id, so no key is hot."""
-    first = copies(docs).select(F.col("first_id").alias("doc_id"), "copies")
-    return docs.join(first, "doc_id")
+def distinct_docs(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first document of each of the ``copies`` groups. The first id is unique, so no key is hot."""
+    return docs.join(groups.select(F.col("first_id").alias("doc_id"), "copies"), "doc_id")
 
 
 def corpus_ids(docs: DataFrame) -> DataFrame:
@@ -94,9 +94,9 @@ def stop_limit(n_docs: Column) -> Column:
     return F.floor(n_docs / STOP_SHARE)
 
 
-def mark_stop_words(df_table: DataFrame, unique_docs: DataFrame) -> DataFrame:
-    """``(term, df, is_stop)``; the number of documents is a scalar subquery, not a join."""
-    n_docs = unique_docs.agg(F.count("*")).scalar()
+def mark_stop_words(df_table: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(term, df, is_stop)``; N = number of ``groups`` rows, as a scalar subquery."""
+    n_docs = groups.agg(F.count("*")).scalar()
     return df_table.withColumn("is_stop", F.col("df") > stop_limit(n_docs))
 
 

@@ -82,3 +82,12 @@ def count_within(df: DataFrame, limit: int) -> int | None:
     """The row count if it is at most ``limit``, else None; reads no more rows than needed."""
     n = df.limit(limit + 1).count()
     return n if n <= limit else None
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows over the cores when the scan gives fewer partitions than there are cores.
+
+    For CPU-heavy row work on few files. On large inputs the scan has partitions enough and nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ SMALL_ROWS = 200_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
+def ship_with_tasks(module_name: str) -> None:
+    """Send the functions of a module along with the tasks, so that executors need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``; make one only in local mode."""
     sc = spark.sparkContext

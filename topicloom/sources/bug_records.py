@@ -23,22 +23,21 @@ def read_bug_files(spark: SparkSession, path: str) -> DataFrame:
 def fixes(bugs: DataFrame) -> DataFrame:
     """``(objective, key, kind, fix)``: one row per fix. An array gives ``<id>-F<i>``; an empty object gives none."""
     kind = F.schema_of_variant("type")
-    many = F.try_variant_get("type", "$", "array<variant>")
-    typed = bugs.withColumn("_kind", F.when(F.startswith(kind, F.lit("ARRAY")), "array")
-                            .when(F.startswith(kind, F.lit("OBJECT")), "object").otherwise("class"))
-    one = typed.filter("_kind = 'object'").filter(F.to_json("type") != "{}").select(
-        "objective", F.col("id").alias("key"), F.lit("fix").alias("kind"), F.col("type").alias("fix")
-    )
-    several = typed.filter("_kind = 'array'").select("objective", "id", F.posexplode(many).alias("_i", "fix")).select(
-        "objective",
-        F.concat("id", F.lit("-F"), F.col("_i").cast("string")).alias("key"),
-        F.lit("fix").alias("kind"),
-        "fix",
+
+    def case(key, name, fix):
+        return F.struct(key.alias("key"), F.lit(name).alias("kind"), fix.alias("fix"))
+
+    several = F.transform(
+        F.try_variant_get("type", "$", "array<variant>"),
+        lambda f, i: case(F.concat(F.col("id"), F.lit("-F"), i.cast("string")), "fix", f),
     )
-    named = typed.filter("_kind = 'class'").select(
-        "objective", F.col("id").alias("key"), F.lit("class").alias("kind"), F.col("type").alias("fix")
+    cases = (
+        F.when(F.startswith(kind, F.lit("ARRAY")), several)
+        .when(kind == "OBJECT<>", F.array())
+        .when(F.startswith(kind, F.lit("OBJECT")), F.array(case(F.col("id"), "fix", F.col("type"))))
+        .otherwise(F.array(case(F.col("id"), "class", F.col("type"))))
     )
-    return one.unionByName(several).unionByName(named)
+    return bugs.select("objective", F.inline(cases))
 
 
 def to_records(fix_table: DataFrame, taxonomy: DataFrame) -> Records:
@@ -46,23 +45,20 @@ def to_records(fix_table: DataFrame, taxonomy: DataFrame) -> Records:
     named = F.array(F.concat(F.lit("fixclass:"), F.split_part(F.variant_get("fix", "$", "string"), F.lit(":"), F.lit(1))))
     labels = F.when(F.col("kind") == "class", named).otherwise(fix_labels(F.col("fix")))
     base = fix_table.select("key", F.explode(labels).alias("var"))
-    return Records(fix_table.select("key", "objective"), base.unionByName(error_classes(base, taxonomy)).distinct())
-
-
-def error_classes(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Class, subclass and error labels of every ``error:`` label that the taxonomy knows."""
-    errors = labels.filter(F.startswith("var", F.lit("error:"))).select("key", F.expr("substr(var, 7)").alias("error"))
-    known = errors.join(taxonomy, "error")
-    return known.select(
-        "key",
-        F.explode(
-            F.array(
-                F.concat(F.lit("errorclass:"), "class"),
-                F.concat(F.lit("errorsubclass-"), "class", F.lit(":"), "subclass"),
-                F.concat(F.lit("errorsubsubclass-"), "class", F.lit("-"), "subclass", F.lit(":"), "error"),
-            )
-        ).alias("var"),
+    return Records(fix_table.select("key", "objective"), with_error_classes(base, taxonomy).distinct())
+
+
+def with_error_classes(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Every label, and for an ``error:`` label that the taxonomy knows its class, subclass and error labels."""
+    error = F.when(F.startswith("var", F.lit("error:")), F.expr("substr(var, 7)"))
+    known = labels.withColumn("error", error).join(taxonomy, "error", "left")
+    classed = F.array(
+        F.col("var"),
+        F.concat(F.lit("errorclass:"), "class"),
+        F.concat(F.lit("errorsubclass-"), "class", F.lit(":"), "subclass"),
+        F.concat(F.lit("errorsubsubclass-"), "class", F.lit("-"), "subclass", F.lit(":"), "error"),
     )
+    return known.select("key", F.explode(F.array_compact(classed)).alias("var"))
 
 
 def unclassified(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:

@@ -140,8 +140,8 @@ def node_centroids(spark, sf):
         F.col("o_orderkey").alias("point"),
         F.array(
             F.sqrt("o_totalprice"),
-            F.when(F.col("o_orderstatus") == "F", 100.0).otherwise(0.0),
-            F.when(F.startswith("o_orderpriority", F.lit("1")), 50.0).otherwise(0.0),
+            F.when(F.col("o_orderstatus") == "F", 2 * F.sqrt("o_totalprice")).otherwise(0.0),
+            F.when(F.startswith("o_orderpriority", F.lit("1")), 3 * F.sqrt("o_totalprice")).otherwise(0.0),
         ).alias("v"),
     )
     top = G.node_centroids(order_tree(spark, sf), line, top=2)
@@ -209,8 +209,8 @@ from wp where parent_id is not null"""),
     ),
     "node_centroids": (
         node_centroids,
-        _sql(""", m as (select c.cluster_id, avg(sqrt(o_totalprice)) as p0, avg(case when o_orderstatus = 'F' then 100.0 else 0.0 end) as p1,
-  avg(case when starts_with(o_orderpriority, '1') then 50.0 else 0.0 end) as p2 from chain c join orders on o_orderkey = point group by c.cluster_id),
+        _sql(""", m as (select c.cluster_id, avg(sqrt(o_totalprice)) as p0, avg(case when o_orderstatus = 'F' then 2 * sqrt(o_totalprice) else 0.0 end) as p1,
+  avg(case when starts_with(o_orderpriority, '1') then 3 * sqrt(o_totalprice) else 0.0 end) as p2 from chain c join orders on o_orderkey = point group by c.cluster_id),
 l as (select cluster_id, unnest([p0, p1, p2]) as p, unnest([0, 1, 2]) as topic from m),
 r as (select *, row_number() over (partition by cluster_id order by p desc, topic) as rank from l where p <> 0)
 select cluster_id, cast(rank as int) as rank, topic, round(p, 6) as p from r where rank <= 2"""),

@@ -25,6 +25,8 @@ LAST_CUT = 2.0
 
 LABELLED_TOPICS = 10
 
+RADIX = 8  # leaves are summed in aligned blocks of RADIX, RADIX^2, ... places
+
 
 def roots(nodes: DataFrame) -> DataFrame:
     """Nodes that are nobody's child."""
@@ -277,31 +279,35 @@ def points_below(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _aligned_blocks(lo: Column, hi: Column, depth: int) -> Column:
-    """Split [lo, hi) into at most two aligned blocks of each size 2^k, as ``(level, block)`` structs."""
+    """Split [lo, hi) into aligned blocks of sizes RADIX^k, as an array of ``struct(level, block)``."""
+
+    def run(level: int, start: Column, stop: Column) -> Column:
+        size = RADIX**level
+        return F.when(
+            start < stop,
+            F.transform(
+                F.sequence(F.floor(start / size), F.floor(stop / size) - 1),
+                lambda block: F.struct(F.lit(level).alias("level"), block.alias("block")),
+            ),
+        ).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+
     found = []
-    for k in range(depth + 1):
-        size = 1 << k
-        # [a, b) is what is left once the smaller blocks at both ends are taken off
-        a = F.ceil(lo / size) * size
-        b = F.floor(hi / size) * size
-        upper_a = F.ceil(lo / (2 * size)) * (2 * size)
-        upper_b = F.floor(hi / (2 * size)) * (2 * size)
-        whole = upper_a < upper_b
-        left = F.when((a < b) & F.when(whole, a < upper_a).otherwise(True), F.struct(F.lit(k).alias("level"), F.floor(a / size).alias("block")))
-        # without a larger block inside, [a, b) is one or two blocks of this size
-        right = F.when(
-            (a < b) & F.when(whole, upper_b < b).otherwise(b - a >= 2 * size),
-            F.struct(F.lit(k).alias("level"), F.floor((b - size) / size).alias("block")),
-        )
-        found += [left, right]
-    return F.array_compact(F.array(*found))
+    for level in range(depth + 1):
+        size, above = RADIX**level, RADIX ** (level + 1)
+        start, stop = F.ceil(lo / size) * size, F.floor(hi / size) * size
+        # what larger blocks cover begins and ends at a multiple of the larger size
+        inner_start, inner_stop = F.ceil(lo / above) * above, F.floor(hi / above) * above
+        split = inner_start <= inner_stop
+        found.append(run(level, start, F.when(split, inner_start).otherwise(stop)))
+        found.append(F.when(split, run(level, inner_stop, stop)).otherwise(F.array().cast("array<struct<level:int,block:bigint>>")))
+    return F.concat(*found)
 
 
 def node_centroids(nodes: DataFrame, points: DataFrame, labels: DataFrame | None = None, top: int = LABELLED_TOPICS) -> DataFrame:
     """``(cluster_id, topics)``: the strongest topics of every node's mean vector, strongest first.
 
     ``points(point, v)``. Sums of aligned blocks of leaves are built level by level, and every node adds up
-    the blocks of its interval: O(n log n) rows for any tree, where one row per node and point would be O(n^2).
+    the blocks of its interval: O(n log n) rows for any tree, where one row per node and point could be O(n^2).
     """
     spans = checkpoint(leaf_intervals(nodes))
     placed = checkpoint(
@@ -310,11 +316,13 @@ def node_centroids(nodes: DataFrame, points: DataFrame, labels: DataFrame | None
         )
     )
     n = nodes.filter("size = 1").count()
-    depth = max(n - 1, 0).bit_length()
+    depth = 0
+    while RADIX**depth < n:
+        depth += 1
     layers = layer = placed
     for level in range(1, depth + 1):
         layer = checkpoint(
-            layer.groupBy(F.floor(F.col("block") / 2).alias("block"))
+            layer.groupBy(F.floor(F.col("block") / RADIX).alias("block"))
             .agg(Summarizer.sum(F.col("s")).alias("s"))
             .select(F.lit(level).alias("level"), "block", "s")
         )

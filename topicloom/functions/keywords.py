@@ -9,6 +9,8 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.scale import spread
+
 # The default rules, name and pattern.
 DEFAULT_RULES = [
     ("ref.cve", r"cve-[0-9]+-[0-9]+"),
@@ -71,23 +73,25 @@ def _per_slice(rules: Rules, one_pass) -> DataFrame:
     return reduce(DataFrame.unionByName, [one_pass(part) for part in _slices(rules)])
 
 
-def matched_names(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Names of the rules that occur in the lower-cased text."""
-    low = F.lower(text)
+def matched_names(low: Column, rules: list[tuple[str, str]]) -> Column:
+    """Names of the rules that occur in a lower-cased text."""
     return F.array_compact(F.array(*[F.when(low.rlike(regex), F.lit(name)) for name, regex in rules]))
 
 
+def _lowered(docs: DataFrame, text_col: str) -> tuple[list[str], DataFrame]:
+    keep = [c for c in docs.columns if c != text_col]
+    return keep, spread(docs, keep[0]).select(*keep, F.lower(F.col(text_col)).alias("_low"))
+
+
 def match_rules(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:
     """One row per document and matching rule: the columns of ``docs`` but the text, and ``rule``."""
-    keep = [c for c in docs.columns if c != text_col]
-    return _per_slice(
-        rules, lambda part: docs.select(*keep, F.explode(matched_names(F.col(text_col), part)).alias("rule"))
-    )
+    keep, low = _lowered(docs, text_col)
+    return _per_slice(rules, lambda part: low.select(*keep, F.explode(matched_names(F.col("_low"), part)).alias("rule")))
 
 
 def match_groups(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:
     """As :func:`match_rules`, with all matched strings in ``matches``."""
-    keep = [c for c in docs.columns if c != text_col]
+    keep, low = _lowered(docs, text_col)
 
     def one_pass(part):
         found = F.array(
@@ -100,11 +104,7 @@ def match_groups(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataF
             ]
         )
         hits = F.filter(found, lambda m: F.size(m["matches"]) > 0)
-        return (
-            docs.withColumn("_low", F.lower(F.col(text_col)))
-            .select(*keep, F.explode(hits).alias("_hit"))
-            .select(*keep, "_hit.rule", "_hit.matches")
-        )
+        return low.select(*keep, F.explode(hits).alias("_hit")).select(*keep, "_hit.rule", "_hit.matches")
 
     return _per_slice(rules, one_pass)
 

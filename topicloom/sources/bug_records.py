@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.labels import fix_labels
 from topicloom.operators.crosstab import Records
+from topicloom.scale import spread
 
 
 def read_bug_files(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +38,7 @@ def fixes(bugs: DataFrame) -> DataFrame:
         .when(F.startswith(kind, F.lit("OBJECT")), F.array(case(F.col("id"), "fix", F.col("type"))))
         .otherwise(F.array(case(F.col("id"), "class", F.col("type"))))
     )
-    return bugs.select("objective", F.inline(cases))
+    return spread(bugs, "id").select("objective", F.inline(cases))
 
 
 def to_records(fix_table: DataFrame, taxonomy: DataFrame) -> Records:

@@ -7,14 +7,15 @@ from topicloom.operators import lda
 from topicloom.plans import pipelines as PL
 from topicloom.sources import tables as ST
 
-WORDS = ["lock", "page", "driver", "network", "cache", "inode", "socket", "timer"]
+# enough words that none is in a fifth of the documents
+WORDS = [f"{a}{b}" for a in ("lock", "page", "driver", "socket", "timer", "inode") for b in ("ing", "er", "table", "queue", "map", "list", "set", "ring")]
 
 
 @pytest.fixture(scope="module")
 def inputs(spark):
     ids = spark.range(60).withColumnRenamed("id", "n")
     words = F.array(*[F.lit(w) for w in WORDS])
-    pick = [F.element_at(words, (F.pmod(F.xxhash64("n", F.lit(k)), F.lit(8)) + 1).cast("int")) for k in range(6)]
+    pick = [F.element_at(words, (F.pmod(F.xxhash64("n", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int")) for k in range(6)]
     commits = ids.select(
         F.concat(F.lit("c"), F.col("n")).alias("id"),
         F.timestamp_seconds(F.col("n") * 40_000 + 1_000_000).alias("ts"),

@@ -87,3 +87,18 @@ def test_topics_are_reproducible(spark):
     b = lda.topic_terms(lda.train(features, 2, 3), vocabulary).orderBy("topic", "term").collect()
     assert a == b and vocabulary == ["cache", "lock", "page"]
     assert lda.perplexity(features, 2, [2]).first()["log_perplexity"] > 0
+
+
+def test_topics_on_tables(spark, monkeypatch):
+    groups = [["lock", "page", "cache"], ["socket", "timer", "route"]]
+    rows = [(i, groups[i % 2] * (1 + i % 3)) for i in range(20)]
+    corpus = spark.createDataFrame(rows, "corpus_id long, tokens array<string>")
+    monkeypatch.setattr(lda, "MODEL_BYTES", 8)
+    made = PL.train_topics(corpus, topics=2, iterations=12)
+    for name, key in (("topic_terms", "topic"), ("doc_topics", "corpus_id")):
+        total = made[name].groupBy(key).agg(F.sum("p").alias("s")).collect()
+        assert total and all(r["s"] == pytest.approx(1.0) for r in total)
+    # words that never meet end in different topics
+    best = {r["term"]: r["topic"] for r in made["topic_terms"].groupBy("term").agg(F.max_by("topic", "p").alias("topic")).collect()}
+    assert len({best[w] for w in groups[0]}) == 1 and len({best[w] for w in groups[1]}) == 1
+    assert best["lock"] != best["socket"]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.scale import ordered_index
+from topicloom.scale import checkpoint, count_within, ordered_index, ship_with_tasks
+
+ship_with_tasks(__name__)
 
 # Topics, iterations, document smoothing 50 / k, term smoothing, least uses of a term.
 TOPICS, ITERATIONS, DOC_SMOOTHING, TERM_SMOOTHING, MIN_USES = 300, 1000, 50.0, 0.1, 2
@@ -34,11 +39,14 @@ def row_ids(corpus: DataFrame) -> DataFrame:
     return ordered_index(corpus.select("corpus_id"), ["corpus_id"], "row_id")
 
 
+def fits_driver(terms: DataFrame, topics: int) -> bool:
+    return count_within(terms, MODEL_BYTES // (8 * topics)) is not None
+
+
 def vectors(corpus: DataFrame, terms: DataFrame, topics: int) -> tuple[DataFrame, list[str]]:
     """``(corpus_id, features)`` and the vocabulary in ``term_id`` order."""
-    limit = MODEL_BYTES // (8 * topics)
-    if terms.limit(limit + 1).count() > limit:
-        raise ValueError(f"{topics} topics of more than {limit} terms do not fit the driver; raise min_uses or MODEL_BYTES")
+    if not fits_driver(terms, topics):
+        raise ValueError("the topics x terms matrix does not fit the driver; use train_tables")
     vocabulary = [r["term"] for r in terms.orderBy("term_id").collect()]
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="tokens", outputCol="features")
     return counter.transform(corpus).select("corpus_id", "features"), vocabulary
@@ -89,3 +97,77 @@ def doc_topics(model: LDAModel, features: DataFrame) -> DataFrame:
 def doc_vectors(model: LDAModel, features: DataFrame) -> DataFrame:
     """``(point, v)``: topic vectors, the input of the clusterings."""
     return model.transform(features).select(F.col("corpus_id").alias("point"), vector_to_array("topicDistribution").alias("v"))
+
+
+# --- training on tables, for any number of terms ------------------------------------------------------------
+
+
+def _shares(key: str, total: np.ndarray, alpha: float, eta: float, n_terms: int):
+    """Task that gives each word's count to the topics and sums by ``key`` inside every batch."""
+
+    def task(batches):
+        for batch in batches:
+            doc, term = (np.array(batch[c].tolist(), dtype=np.float64) for c in ("doc_v", "term_v"))
+            share = (doc + alpha) * (term + eta) / (total + eta * n_terms)
+            share *= (batch["n"].to_numpy() / share.sum(1))[:, None]
+            keys = batch[key].to_numpy()
+            order = np.argsort(keys, kind="stable")
+            ids, starts = np.unique(keys[order], return_index=True)
+            yield pd.DataFrame({key: ids, "s": list(np.add.reduceat(share[order], starts, axis=0))})
+
+    return task
+
+
+def _summed(words: DataFrame, key: str, task) -> DataFrame:
+    partial = words.mapInPandas(task, f"{key} long, s array<double>")
+    return partial.groupBy(key).agg(Summarizer.sum(array_to_vector("s")).alias("s")).select(key, vector_to_array("s").alias("v"))
+
+
+def _unit(v: Column) -> Column:
+    return F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda acc, y: acc + y))
+
+
+def train_tables(
+    corpus: DataFrame, terms: DataFrame, topics: int = TOPICS, iterations: int = ITERATIONS, seed: int = 42
+) -> dict[str, DataFrame]:
+    """``topic_terms``, ``doc_topics`` and ``points`` by zero-order collapsed variational Bayes.
+
+    A topic vector per document and one per term live in tables; an iteration joins them to the word counts
+    and sums the shares by document, then by term. Only the k topic totals pass through the driver. A term
+    is in at most a fifth of the documents, and adaptive execution splits the join of such a term.
+    """
+    alpha, eta = DOC_SMOOTHING / topics, TERM_SMOOTHING
+    counts = checkpoint(term_counts(corpus, terms))
+    n_terms = terms.count()
+    at = F.sequence(F.lit(0), F.lit(topics - 1))
+    by_term = checkpoint(
+        terms.select(
+            "term_id",
+            F.transform(at, lambda t: (F.pmod(F.xxhash64("term_id", t, F.lit(seed)), F.lit(1_000_003)) + 1) / 1_000_003.0).alias("v"),
+        )
+    )
+    by_doc = checkpoint(counts.select("corpus_id").distinct().withColumn("v", F.transform(at, lambda t: F.lit(1.0 / topics))))
+
+    def words() -> DataFrame:
+        return (
+            counts.join(by_doc.withColumnRenamed("v", "doc_v"), "corpus_id")
+            .join(by_term.withColumnRenamed("v", "term_v"), "term_id")
+            .select("corpus_id", "term_id", F.col("n").cast("double").alias("n"), "doc_v", "term_v")
+        )
+
+    def totals() -> np.ndarray:
+        return np.array(by_term.agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("t")).first()["t"])
+
+    total = totals()
+    for _ in range(iterations):
+        summed = _summed(words(), "corpus_id", _shares("corpus_id", total, alpha, eta, n_terms))
+        by_doc = checkpoint(summed.withColumn("v", _unit(F.col("v"))))
+        by_term = checkpoint(_summed(words(), "term_id", _shares("term_id", total, alpha, eta, n_terms)))
+        total = totals()
+    norm = F.array(*[F.lit(float(t)) for t in total])
+    weights = by_term.join(terms, "term_id").select("term", F.posexplode(F.zip_with("v", norm, lambda a, b: a / b)).alias("topic", "p"))
+    return {
+        "topic_terms": weights.select("topic", "term", "p"),
+        "doc_topics": by_doc.select("corpus_id", F.posexplode("v").alias("topic", "p")),
+        "points": by_doc.select(F.col("corpus_id").alias("point"), "v"),
+    }

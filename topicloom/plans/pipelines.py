@@ -98,7 +98,10 @@ def corpus_of_text(spark: SparkSession, path: str, separator: str, **options) ->
 
 
 def train_topics(corpus_docs: DataFrame, topics: int = lda.TOPICS, iterations: int = lda.ITERATIONS, seed: int = 42) -> Tables:
-    features, vocabulary = lda.vectors(corpus_docs, lda.dictionary(corpus_docs), topics)
+    terms = checkpoint(lda.dictionary(corpus_docs))
+    if not lda.fits_driver(terms, topics):
+        return {**lda.train_tables(corpus_docs, terms, topics, iterations, seed), "row_ids": lda.row_ids(corpus_docs)}
+    features, vocabulary = lda.vectors(corpus_docs, terms, topics)
     features = checkpoint(features)
     model = lda.train(features, topics, iterations, seed)
     return {

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # A DataFrame with at most this many rows may be sent whole to every executor or to the driver.
 SMALL_ROWS = 200_000
 
+# Inputs of fewer bytes per core than this are spread by hand.
+SPLIT_BYTES = 4 << 20
+
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -97,9 +100,11 @@ def count_within(df: DataFrame, limit: int) -> int | None:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows over the cores when the scan gives fewer partitions than there are cores.
+    """Spread rows over the cores when the input is too small to give each core a file split.
 
-    For CPU-heavy row work on few files. On large inputs the scan has partitions enough and nothing moves.
+    For CPU-heavy row work on few files. Decided from the optimizer's size estimate, so nothing is run; on
+    large inputs the scan has splits enough and nothing moves.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df

@@ -18,26 +18,24 @@ def head(value: Column) -> Column:
     return F.split_part(value, F.lit(":"), F.lit(1))
 
 
-def location_levels(location: Column) -> tuple[Column, Column, Column]:
-    """Directory levels 1 to 3 of a fixed file; ``.`` where the path is shorter. The last part is the file."""
-    parts = F.split(head(location), "/")
-    n_dirs = F.size(parts) - 1
+def location_parts(locations: Column) -> Column:
+    """Path parts of each fixed file. Split once: what a lambda is given is not computed again."""
+    return F.transform(locations, lambda location: F.split(head(location), "/"))
 
-    def level(i: int) -> Column:
-        return F.when(n_dirs >= i, F.try_element_at(parts, F.lit(i))).otherwise(F.lit("."))
 
-    return F.try_element_at(parts, F.lit(1)), level(2), level(3)
+def directory_level(parts: Column, level: int) -> Column:
+    """Directory at a level from 1; ``.`` where the path is shorter. The last part is the file."""
+    directory = F.when(F.size(parts) > level, F.get(parts, F.lit(level - 1))).otherwise(F.lit("."))
+    return F.get(parts, F.lit(0)) if level == 1 else directory
 
 
-def _location_labels(location: Column) -> Column:
-    first, second, third = location_levels(location)
+def _location_labels(parts: Column) -> Column:
+    first, second, third = (directory_level(parts, level) for level in (1, 2, 3))
     return F.array_compact(
         F.array(
             F.concat(F.lit("fixedloc:"), first),
             F.concat(F.lit("fixedsubloc-"), first, F.lit(":"), second),
-            F.when(
-                second != ".", F.concat(F.lit("fixedsubsubloc-"), first, F.lit("-"), second, F.lit(":"), third)
-            ),
+            F.when(F.size(parts) > 2, F.concat(F.lit("fixedsubsubloc-"), first, F.lit("-"), second, F.lit(":"), third)),
         )
     )
 
@@ -63,7 +61,7 @@ def fix_labels(fix: Column) -> Column:
     )
     bug = F.concat(
         F.array(F.lit("fixclass:bug"), F.concat(F.lit("failuresite:"), site)),
-        F.flatten(F.transform(locations, _location_labels)),
+        F.flatten(F.transform(location_parts(locations), _location_labels)),
         trigger_labels,
         F.flatten(F.transform(errors, _error_labels)),
     )

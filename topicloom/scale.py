@@ -106,5 +106,5 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     large inputs the scan has splits enough and nothing moves.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.labels import fix_labels
 from topicloom.operators.crosstab import Records
-from topicloom.scale import spread
+from topicloom.scale import SMALL_ROWS, count_within, spread
 
 
 def read_bug_files(spark: SparkSession, path: str) -> DataFrame:
@@ -51,8 +51,10 @@ def to_records(fix_table: DataFrame, taxonomy: DataFrame) -> Records:
 
 def with_error_classes(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Every label, and for an ``error:`` label that the taxonomy knows its class, subclass and error labels."""
-    error = F.when(F.startswith("var", F.lit("error:")), F.expr("substr(var, 7)"))
-    known = labels.withColumn("error", error).join(taxonomy, "error", "left")
+    # a label that is no error gets a key of its own, so that they do not all meet in one task
+    error = F.when(F.startswith("var", F.lit("error:")), F.expr("substr(var, 7)")).otherwise(F.concat(F.lit("\0"), "key"))
+    small = count_within(taxonomy, SMALL_ROWS) is not None
+    known = labels.withColumn("error", error).join(F.broadcast(taxonomy) if small else taxonomy, "error", "left")
     classed = F.array(
         F.col("var"),
         F.concat(F.lit("errorclass:"), "class"),

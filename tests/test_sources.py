@@ -67,7 +67,7 @@ def test_bug_records(spark, tmp_path):
 
 def test_dendrogram_csv(spark, tmp_path):
     (tmp_path / "c.csv").write_text(
-        "#HierarchicalClusterID,size\n0,1,0.0,2,-1,-1,T1-a,0.7,0\n1,1,0.0,2,-1,-1,1\n2,2,0.5,-1,0,1,T1-a,0.4,T2-b,0.1,0,1\n"
+        "#id,size\n0,1,0.0,2,-1,-1,T1-a,0.7,0\n1,1,0.0,2,-1,-1,1\n2,2,0.5,-1,0,1,T1-a,0.4,T2-b,0.1,0,1\n"
     )
     nodes, centroids = ST.read_dendrogram_csv(spark, str(tmp_path / "c.csv"))
     assert {r["cluster_id"]: (r["parent_id"], r["left_id"]) for r in nodes.collect()} == {0: (2, None), 1: (2, None), 2: (None, 0)}

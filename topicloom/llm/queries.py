@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat_format, license_scan, simhash
+from topicloom.llm import chat_format, decontaminate, license_scan, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,24 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id").agg(
+        F.countDistinct("item_id").alias("n_items"),
+        F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("item_ids"),
+        F.min("edits").alias("edits"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judge(documents, table(spark, sf_dir, "labels")).drop("text")
+
+
 QUERIES = {
     "op2_simhash": (op2_simhash, None),
     "op3_chat_format": (op3_chat_format, None),
     "op4_license_scan": (op4_license_scan, None),
+    "op8_decontaminate": (op8_decontaminate, None),
+    "op9_quality": (op9_quality, None),
 }

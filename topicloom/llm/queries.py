@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat_format, decontaminate, license_scan, quality, simhash
+from topicloom.llm import chat_format, decontaminate, license_scan, mixing, pii, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("doc_id").agg(
@@ -53,10 +57,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash": (op2_simhash, None),
     "op3_chat_format": (op3_chat_format, None),
     "op4_license_scan": (op4_license_scan, None),
+    "op7_mixing": (op7_mixing, None),
     "op8_decontaminate": (op8_decontaminate, None),
     "op9_quality": (op9_quality, None),
+    "op10_pii": (op10_pii, None),
 }

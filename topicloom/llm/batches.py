@@ -46,6 +46,21 @@ def ascii_words(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
     return flat, offsets
 
 
+# Bytes that are no letter, digit or part of a character beyond ASCII become spaces; A-Z become a-z.
+TO_WORDS = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
+    for b in range(256)
+)
+
+
+def plain_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words without case and punctuation: the different ones, the number of each word, and where texts begin."""
+    raw = [(t or "").encode("utf-8", "surrogatepass").translate(TO_WORDS) for t in texts]
+    flat, offsets = ascii_words(pa.array(raw, pa.binary()).cast(pa.string()), lower=False)
+    coded = pc.dictionary_encode(flat)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), offsets
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A fixed 64-bit finaliser (xor-shift and multiply), for hashing integers."""
     x = values.astype(U64)

@@ -14,36 +14,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.batches import U64, ascii_words, mix, slices
-from topicloom.scale import ship_with_tasks
+from topicloom.llm.batches import U64, mix, plain_words, slices
+from topicloom.scale import checkpoint, ship_with_tasks
 
 EDIT_SHARE = 0.2
 REPETITIONS, SAMPLES = 64, 2  # recall over 0.99 at the largest distance; see tests/llm
 ITEM_WORDS = 500_000  # words of benchmark that one pass over the documents takes along
 SEED = 20260
 
-_TO_WORDS = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
-    for b in range(256)
-)
 _STEP = U64(0x9E3779B97F4A7C15)
 _WRAP = (1 << 64) - 1
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of all texts, and where each text's words begin; case and punctuation do not count."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS) for t in texts.to_pylist()]
-    flat, offsets = ascii_words(pa.array(raw, pa.binary()).cast(pa.string()), lower=False)
-    if len(flat) == 0:
-        return np.zeros(0, U64), offsets
-    coded = pc.dictionary_encode(flat)
-    own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], U64)
-    return own[coded.indices.to_numpy()], offsets
+    different, numbers, offsets = plain_words(texts.to_pylist())
+    own = np.array([xxhash.xxh64_intdigest(w) for w in different], U64)
+    return own[numbers] if len(different) else np.zeros(0, U64), offsets
 
 
 def grams(words: np.ndarray, width: int) -> np.ndarray:
@@ -189,6 +180,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, keys: list[str] | None = N
     return out
 
 
+def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that leak no item, columns as they are."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marked = documents.withColumn("_key", key)
+    found = checkpoint(leaks(marked, benchmark, ["_key"]).select("_key").distinct())
+    return marked.join(found, "_key", "left_anti").select(*documents.columns)
+
+
 def _schema(picked: DataFrame, keys: list[str]) -> str:
     types = dict(picked.dtypes)
     return ", ".join(f"`{k}` {types[k]}" for k in keys) + ", item_id long, edits long"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.batches import slices
+from topicloom.llm.batches import TO_WORDS, slices
 from topicloom.scale import ship_with_tasks
 
 # Base phrases and their labels.
@@ -118,11 +118,6 @@ def default_rules() -> list[Rule]:
 ANY_KEYWORD = (b"licen", b"spdx", b"under ", b"cc ", b"cc0", b"reserved", b"copyright", b"domain", b"warrant",
                b"proprietary", b"attribution", b"creative")
 
-_TO_WORDS = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
-    for b in range(256)
-)
-
 
 def phrase_places(joined: bytes, phrase: str) -> list[int]:
     """Word numbers at which the words of a phrase stand; ``joined`` is space-joined with a space at both ends."""
@@ -149,7 +144,7 @@ class Scanner:
         self.rules = [(re.compile(rf"(?<= )(?:{r.pattern})(?= )"), r) for r in rules]
 
     def scan(self, text: str | None) -> tuple:
-        spaced = (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS)
+        spaced = (text or "").encode("utf-8", "surrogatepass").translate(TO_WORDS)
         words = spaced.split()
         if not any(k in spaced for k in ANY_KEYWORD):
             return len(words), 0, None, None, "", "", 0.0, []

@@ -106,8 +106,26 @@ def uniform(seed: str) -> Column:
     return (digits + 0.5) / F.lit(float(1 << 48))
 
 
+def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+    """The documents of which something is taken, with ``size, source_size, target, taken, copies``.
+
+    Equal rows become one row with the words taken of all of them. Columns named like the added ones are replaced.
+    """
+    added = ["size", "source_size", "target", "taken", "copies"]
+    marked = documents.drop(*added).withColumn("_key", row_key())
+    found = mix(documents, **options).groupBy(F.col("key").alias("_key")).agg(
+        *(F.first(c).alias(c) for c in added[:3]), F.sum("taken").alias("taken"), F.sum("copies").alias("copies")
+    )
+    return marked.dropDuplicates(["_key"]).join(found.where("taken > 0"), "_key").drop("_key")
+
+
+def row_key() -> Column:
+    """Equal for equal rows; id, source and text are hashed together."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
 def mix(documents: DataFrame, weight: Column | None = None, weights: Sequence[int] = WEIGHTS, share: float = SHARE, seed: str = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` and ``copies``, the copies expected of the document.
+    """``key, doc_id, source, size, source_size, target, taken`` and ``copies``, the copies expected of the document.
 
     ``weight`` is a positive expression over ``size``; without it longer documents weigh a little less, so that a few
     long ones are not repeated most. Null and blank texts have size 0 and nothing of them is taken. Rows with
@@ -116,6 +134,7 @@ def mix(documents: DataFrame, weight: Column | None = None, weights: Sequence[in
     own = F.lit(1.0) / F.log(F.col("size") + F.lit(20.0)) if weight is None else weight
     sized = checkpoint(
         documents.select(
+            row_key().alias("key"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text").cast("string")).alias("size"),
@@ -128,8 +147,8 @@ def mix(documents: DataFrame, weight: Column | None = None, weights: Sequence[in
     u = uniform(seed)
     rank = F.when(chance > 0, (u / (1 - u)) / (chance / (1 - chance))).otherwise(F.lit(float("inf")))
     ranked = running_sum(
-        spread.select("doc_id", "source", "size", "copies", whole.alias("whole"), rank.alias("rank")),
-        ["source"], ["rank", "doc_id", "size"], "size", "upto",
+        spread.select("key", "doc_id", "source", "size", "copies", whole.alias("whole"), rank.alias("rank")),
+        ["source"], ["rank", "doc_id", "size", "key"], "size", "upto",
     )
     certain = spread.groupBy("source").agg(F.sum((whole * F.col("size")).cast(SUMS)).alias("certain"))
     known = sources.join(certain, sources.source.eqNullSafe(certain.source), "left").select(
@@ -140,9 +159,9 @@ def mix(documents: DataFrame, weight: Column | None = None, weights: Sequence[in
     picked = ranked.join(F.broadcast(known) if _few(known) else known, ranked.source.eqNullSafe(F.col("_source")), "left")
     extra = F.least(F.col("size"), F.greatest(F.lit(0), F.col("missing") - (F.col("upto") - F.col("size")))).cast("long")
     extra = F.when(F.col("copies") >= MOST, F.lit(0)).otherwise(extra)
-    out = picked.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), "copies")
+    out = picked.select("key", "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), "copies")
     blank = sized.where("size = 0")
     blank = blank.join(F.broadcast(known) if _few(known) else known, blank.source.eqNullSafe(F.col("_source")), "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0.0).alias("copies")
+        "key", "doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0.0).alias("copies")
     )
     return out.unionByName(blank)

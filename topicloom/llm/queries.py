@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat_format, decontaminate, html_text, license_scan, mixing, pii, quality, simhash, spotsigs
+from topicloom.llm import chat_format, decontaminate, html_text, license_scan, mixing, passages, pii, quality, simhash, spotsigs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string")))
+    return found.select("doc_id", "class_id", "n_links", F.array_join(spans, ",").alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("key", "source")
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op3_chat_format": (op3_chat_format, None),
     "op4_license_scan": (op4_license_scan, None),
     "op5_html_text": (op5_html_text, None),
+    "op6_passages": (op6_passages, None),
     "op7_mixing": (op7_mixing, None),
     "op8_decontaminate": (op8_decontaminate, None),
     "op9_quality": (op9_quality, None),

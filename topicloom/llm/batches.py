@@ -53,12 +53,39 @@ TO_WORDS = bytes(
 )
 
 
-def plain_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words without case and punctuation: the different ones, the number of each word, and where texts begin."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").translate(TO_WORDS) for t in texts]
-    flat, offsets = ascii_words(pa.array(raw, pa.binary()).cast(pa.string()), lower=False)
-    coded = pc.dictionary_encode(flat)
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), offsets
+_TABLE = np.frombuffer(TO_WORDS, np.uint8)
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse among 64-bit numbers
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, U64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def hashed_words(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word without case and punctuation, and where each text's words begin.
+
+    The bytes of a word are digits of a number to a fixed base; sums over all bytes give every word at once.
+    """
+    array = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_string())
+    _, places, data = array.buffers()
+    ends = np.frombuffer(places, np.int64)[array.offset : array.offset + len(array) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    if len(raw) == 0:
+        return np.zeros(0, U64), np.zeros(len(array) + 1, np.int64)
+    plain = _TABLE[raw]
+    inside = np.concatenate([plain != 0x20, [False]])
+    edge = np.zeros(len(raw) + 1, bool)  # a word ends with its text
+    edge[ends] = True
+    begins = inside & (edge | ~np.concatenate([[False], inside[:-1]]))
+    first = np.flatnonzero(begins)
+    last = np.flatnonzero(inside[:-1] & (edge[1:] | ~inside[1:])) + 1
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum((plain.astype(U64) + U64(1)) * _powers(_BASE, len(raw)))])
+    values = mix((sums[last] - sums[first]) * _powers(_INVERSE, len(raw))[first])
+    return values, np.concatenate([[0], np.cumsum(begins)])[ends]
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.batches import U64, mix, plain_words, slices
+from topicloom.llm.batches import U64, hashed_words, mix, slices
 from topicloom.scale import checkpoint, ship_with_tasks
 
 EDIT_SHARE = 0.2
@@ -30,13 +29,6 @@ _STEP = U64(0x9E3779B97F4A7C15)
 _WRAP = (1 << 64) - 1
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all texts, and where each text's words begin; case and punctuation do not count."""
-    different, numbers, offsets = plain_words(texts.to_pylist())
-    own = np.array([xxhash.xxh64_intdigest(w) for w in different], U64)
-    return own[numbers] if len(different) else np.zeros(0, U64), offsets
-
-
 def grams(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` words."""
     n = max(0, len(words) - width + 1)

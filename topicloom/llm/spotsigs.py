@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.batches import U64, mix, plain_words, slices
+from topicloom.llm.batches import U64, hashed_words, mix, slices
 from topicloom.llm.components import smallest_reachable
 from topicloom.scale import checkpoint, ship_with_tasks
 
@@ -38,11 +37,10 @@ ANCHORS = (
 
 def signatures(texts: list[str | None], anchors: frozenset[str] = frozenset(ANCHORS), chain: int = CHAIN) -> np.ndarray:
     """Sorted different numbers ``text << 32 | signature`` of all texts."""
-    different, numbers, offsets = plain_words([(t or "").lower() for t in texts])
-    if not different:
+    own, offsets = hashed_words([(t or "").lower() for t in texts])
+    if len(own) == 0:
         return np.zeros(0, np.int64)
-    own = np.array([xxhash.xxh64_intdigest(w) for w in different], U64)[numbers]
-    anchor = np.array([w in anchors for w in different])[numbers]
+    anchor = np.isin(own, hashed_words(sorted(anchors))[0])
     before = np.concatenate([[0], np.cumsum(~anchor)])  # content words before each word
     content = own[~anchor]
     counts = np.diff(offsets)

@@ -58,7 +58,8 @@ def test_from_log_to_cluster_metrics(spark, inputs, tmp_path):
     hierarchy = PL.bottom_up(topics["points"], topics["topic_terms"])
     nodes, n = hierarchy["nodes"], corpus.count()
     assert nodes.count() == 2 * n - 1
-    files = made["files"].withColumnRenamed("id", "doc_id")
+    files = made["files"]
+    assert files.join(made["id_index"], "doc_id", "left_anti").count() == 0  # of kept documents only
     metrics = PL.cluster_metrics(nodes, topics["doc_topics"], made["id_index"], made["commits"], files, cuts=[0.1, 2.0])
     whole = metrics["report"].filter("cut = 2.0 and kind = 'keyword' and name = 'bug.memory.leak'").first()
     assert whole["value"] == n
@@ -79,22 +80,62 @@ def test_stable_and_listed(spark, inputs):
     assert {r["version"] for r in stable.select("version").distinct().collect()} <= {"v3.1", "v3.1.4"}
 
 
+def test_listed_merges_stay(spark, inputs):
+    commits, changes, tags = inputs
+    ids = commits.filter("id in ('c18', 'c19', 'c39')").select("id")  # two of them are merges
+    made = PL.corpus_of_ids(commits, changes, tags, ids)
+    assert made["stats"].first()["n_records"] == 3 and made["commits"].count() == 3
+
+
+@pytest.mark.parametrize("all_commits", [False, True])
+def test_trend_of_paragraphs(spark, inputs, all_commits):
+    commits, changes, tags = inputs
+    two = commits.withColumn("message", F.concat("message", F.lit("\n\nSecond part of "), "id"))
+    made = PL.corpus_of_log(two, changes, tags, by_paragraph=True)
+    index = made["id_index"]
+    assert index.filter("record_id = doc_id").count() == 0
+    doc_topics = index.select("corpus_id").distinct().select("corpus_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("topic"), F.lit(0.5).alias("p"))
+    trend = PL.topic_trend(doc_topics, index, two, changes, tags, all_commits)
+    for name, key in (("by_release", "release"), ("by_directory", "dir")):
+        rows = trend[name].groupBy(key).agg(F.sum("p").alias("s")).collect()
+        assert rows and all(r["s"] == pytest.approx(2.0 if all_commits else 1.0) for r in rows)
+
+
 def test_topics_are_reproducible(spark):
-    rows = [(i, ["lock", "page"] * 3 + ["cache"] * (i % 3)) for i in range(12)]
+    rows = [(i, ["lock", "page"] * 3 + ["cache"] * (i % 3)) for i in range(90)] + [(90, ["once"])]
     corpus = spark.createDataFrame(rows, "corpus_id long, tokens array<string>")
-    features, vocabulary = lda.vectors(corpus, lda.dictionary(corpus), 2)
-    a = lda.topic_terms(lda.train(features, 2, 3), vocabulary).orderBy("topic", "term").collect()
-    b = lda.topic_terms(lda.train(features, 2, 3), vocabulary).orderBy("topic", "term").collect()
-    assert a == b and vocabulary == ["cache", "lock", "page"]
-    assert lda.perplexity(features, 2, [2]).first()["log_perplexity"] > 0
+    made = [lda.train(corpus, 2, 3, measure_every=1) for _ in range(2)]
+    a, b = (m["topic_terms"].orderBy("topic", "term").collect() for m in made)
+    assert a == b and {r["term"] for r in a} == {"cache", "lock", "page"}
+    measured = made[0]["perplexity"].orderBy("iteration").collect()
+    assert [r["iteration"] for r in measured] == [1, 2, 3] and measured[2]["log_perplexity"] > 0
+    # a document whose only term is used once stays, with equal topics
+    assert made[0]["points"].count() == 91
+    assert made[0]["points"].filter("point = 90").first()["v"] == [0.5, 0.5]
+
+
+def test_no_step_tables_pile_up(spark):
+    from pathlib import Path
+
+    from topicloom.scale import shared_folder
+
+    def steps():
+        return len(list(Path(shared_folder(spark).removeprefix("file:")).glob("step-*")))
+
+    corpus = spark.createDataFrame([(i, ["lock", "page", f"w{i % 5}"]) for i in range(20)], "corpus_id long, tokens array<string>")
+    counts = []
+    for iterations in (2, 6):
+        before = steps()
+        lda.train(corpus, 2, iterations)
+        counts.append(steps() - before)
+    assert counts[0] == counts[1]
 
 
-def test_topics_on_tables(spark, monkeypatch):
+def test_topics_on_tables(spark):
     groups = [["lock", "page", "cache"], ["socket", "timer", "route"]]
     rows = [(i, groups[i % 2] * (1 + i % 3)) for i in range(20)]
     corpus = spark.createDataFrame(rows, "corpus_id long, tokens array<string>")
-    monkeypatch.setattr(lda, "MODEL_BYTES", 8)
-    made = PL.train_topics(corpus, topics=2, iterations=12)
+    made = PL.train_topics(corpus, topics=2, iterations=12, doc_smoothing=0.2)
     for name, key in (("topic_terms", "topic"), ("doc_topics", "corpus_id")):
         total = made[name].groupBy(key).agg(F.sum("p").alias("s")).collect()
         assert total and all(r["s"] == pytest.approx(1.0) for r in total)

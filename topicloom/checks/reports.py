@@ -117,28 +117,25 @@ def row_ids(spark, sf):
     return D.row_ids(_corpus(spark, sf))
 
 
-def _features(spark, sf, topics):
-    corpus = _corpus(spark, sf)
-    features, vocabulary = D.vectors(corpus, D.dictionary(corpus), topics)
-    return checkpoint(features), vocabulary
+# SQL unrolls the iterations, so the checked training is short; the steps are the same for any number.
+LDA_TOPICS, LDA_STEPS, LDA_SEED = 6, 3, 42
 
 
-def lda_topics(spark, sf):
-    features, vocabulary = _features(spark, sf, 8)
-    terms = D.topic_terms(D.train(features, 8, 5), vocabulary)
-    from topicloom.operators.topics import top_n
+def _trained(spark, sf):
+    return D.train(_corpus(spark, sf), LDA_TOPICS, LDA_STEPS, LDA_SEED, measure_every=1)
 
-    return top_n(terms, ["topic"], "p", "term", 30)
+
+def lda_topics(spark, sf):
+    return _trained(spark, sf)["topic_terms"].select("topic", "term", F.round("p", 8).alias("p"))
 
 
 def lda_documents(spark, sf):
-    features, _ = _features(spark, sf, 8)
-    return D.doc_topics(D.train(features, 8, 5), features)
+    return _trained(spark, sf)["doc_topics"].select("corpus_id", "topic", F.round("p", 8).alias("p"))
 
 
 def lda_perplexity(spark, sf):
-    features, _ = _features(spark, sf, 8)
-    return D.perplexity(features, 8, [2, 6])
+    measured = _trained(spark, sf)["perplexity"]
+    return measured.select("iteration", "words", F.round("log_perplexity", 7).alias("log_perplexity"))
 
 
 _SQL_TERMS = (
@@ -151,6 +148,44 @@ terms as (select term, row_number() over (order by term) - 1 as term_id from (se
 """
 )
 
+
+
+def _sql_training() -> str:
+    """Tables dv<i>(corpus_id, topic, v), tv<i>(term_id, topic, v) and total<i>(topic, v) after every iteration."""
+    alpha, eta, k = D.DOC_SMOOTHING / LDA_TOPICS, D.TERM_SMOOTHING, LDA_TOPICS
+    sql = _SQL_TERMS + f""", counts as materialized (select corpus_id, term_id, count(*)::double as n from uses join terms using (term) group by corpus_id, term_id),
+topics as (select unnest(range({k})) as topic), size as (select count(*) as n_terms from terms),
+dv0 as (select corpus_id, topic, 1.0::double / {k} as v from (select distinct corpus_id from full_), topics),
+tv0 as materialized (select term_id, topic, (('0x' || substr(md5(concat_ws(':', term, topic, {LDA_SEED})), 1, 7))::bigint + 1) / {float(1 << 28)} as v
+  from terms, topics),
+total0 as (select topic, sum(v) as v from tv0 group by topic)"""
+
+    def shares(docs: int, words: int) -> str:
+        return f"""(select corpus_id, term_id, topic, n * s / sum(s) over (partition by corpus_id, term_id) as s from (
+  select c.corpus_id, c.term_id, d.topic, c.n, (d.v + {alpha}) * (t.v + {eta}) / (o.v + {eta} * n_terms) as s
+  from counts c join dv{docs} d using (corpus_id) join tv{words} t on t.term_id = c.term_id and t.topic = d.topic
+  join total{words} o on o.topic = d.topic, size))"""
+
+    for i in range(1, LDA_STEPS + 1):
+        sql += f""",
+ds{i} as (select corpus_id, topic, sum(s) as s from {shares(i - 1, i - 1)} group by corpus_id, topic),
+du{i} as (select corpus_id, topic, s / sum(s) over (partition by corpus_id) as v from ds{i}),
+dv{i} as materialized (select a.corpus_id, a.topic, coalesce(b.v, a.v) as v from dv0 a left join du{i} b using (corpus_id, topic)),
+tv{i} as materialized (select term_id, topic, sum(s) as v from {shares(i, i - 1)} group by term_id, topic),
+total{i} as (select topic, sum(v) as v from tv{i} group by topic)"""
+    return sql
+
+
+def _sql_perplexity() -> str:
+    eta, parts = D.TERM_SMOOTHING, []
+    for i in range(1, LDA_STEPS + 1):
+        parts.append(f"""select {i}::int as iteration, sum(n) as words, round(-sum(n * ln(chance)) / sum(n), 7) as log_perplexity from (
+  select c.corpus_id, c.term_id, any_value(c.n) as n, sum(d.v * (t.v + {eta}) / (o.v + {eta} * n_terms)) as chance
+  from counts c join dv{i} d using (corpus_id) join tv{i} t on t.term_id = c.term_id and t.topic = d.topic join total{i} o on o.topic = d.topic, size
+  where ('0x' || substr(md5(c.corpus_id::varchar), 1, 7))::bigint % {D.MEASURED} = 0 group by c.corpus_id, c.term_id)""")
+    return _sql_training() + " " + " union all ".join(parts)
+
+
 # --- files ----------------------------------------------------------------------------------------------------
 
 
@@ -284,9 +319,13 @@ from mem join (select distinct point, doc_id from li) using (point) group by cut
         _SQL_TERMS + "select corpus_id, term_id, count(*) as n from uses join terms using (term) group by corpus_id, term_id",
     ),
     "row_ids": (row_ids, _SQL_TERMS + "select corpus_id, row_number() over (order by corpus_id) - 1 as row_id from full_"),
-    "lda_topics": (lda_topics, None),
-    "lda_documents": (lda_documents, None),
-    "lda_perplexity": (lda_perplexity, None),
+    "lda_topics": (
+        lda_topics,
+        _sql_training()
+        + f" select topic::int as topic, term, round(t.v / o.v, 8) as p from tv{LDA_STEPS} t join terms using (term_id) join total{LDA_STEPS} o using (topic)",
+    ),
+    "lda_documents": (lda_documents, _sql_training() + f" select corpus_id, topic::int as topic, round(v, 8) as p from dv{LDA_STEPS}"),
+    "lda_perplexity": (lda_perplexity, _sql_perplexity()),
     "separated_records": (
         separated_records,
         "select doc_id, md5(regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) as text_md5 from documents",

@@ -1,25 +1,27 @@
-"""Topics of a token corpus ``(corpus_id, tokens)``: dictionary, training, tables of the result."""
+"""Topics of a token corpus ``(corpus_id, tokens)``: dictionary, training, tables of the result.
+
+Training is zero-order collapsed variational Bayes on tables, at every size: a topic vector per document and one per
+term are rows, an iteration joins them to the word counts and sums the shares by document, then by term.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.scale import checkpoint, count_within, ordered_index, ship_with_tasks
+from topicloom.scale import checkpoint, drop_step, ordered_index, ship_with_tasks
 
 ship_with_tasks(__name__)
 
-# Topics, iterations, document smoothing 50 / k, term smoothing, least uses of a term.
+# Topics, iterations, document smoothing 50 / k, term smoothing, least uses of a term, iterations
+# between two measurements, one document in so many that is measured.
 TOPICS, ITERATIONS, DOC_SMOOTHING, TERM_SMOOTHING, MIN_USES = 300, 1000, 50.0, 0.1, 2
-
-# The model is a topics x terms matrix on the driver; its size is checked.
-MODEL_BYTES = 2 << 30
+MEASURE_EVERY, MEASURED = 10, 10
+MEASURES = "iteration int, words double, log_perplexity double"
 
 
 def dictionary(corpus: DataFrame, min_uses: int = MIN_USES) -> DataFrame:
@@ -39,67 +41,9 @@ def row_ids(corpus: DataFrame) -> DataFrame:
     return ordered_index(corpus.select("corpus_id"), ["corpus_id"], "row_id")
 
 
-def fits_driver(terms: DataFrame, topics: int) -> bool:
-    return count_within(terms, MODEL_BYTES // (8 * topics)) is not None
-
-
-def vectors(corpus: DataFrame, terms: DataFrame, topics: int) -> tuple[DataFrame, list[str]]:
-    """``(corpus_id, features)`` and the vocabulary in ``term_id`` order."""
-    if not fits_driver(terms, topics):
-        raise ValueError("the topics x terms matrix does not fit the driver; use train_tables")
-    vocabulary = [r["term"] for r in terms.orderBy("term_id").collect()]
-    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="tokens", outputCol="features")
-    return counter.transform(corpus).select("corpus_id", "features"), vocabulary
-
-
-def train(features: DataFrame, topics: int = TOPICS, iterations: int = ITERATIONS, seed: int = 42) -> LDAModel:
-    return LDA(
-        k=topics,
-        maxIter=iterations,
-        seed=seed,
-        optimizer="online",
-        docConcentration=[DOC_SMOOTHING / topics],
-        topicConcentration=TERM_SMOOTHING,
-        # a mini-batch of a tenth, but all documents of a tiny corpus
-        subsamplingRate=0.1 if features.count() > 10_000 else 1.0,
-        optimizeDocConcentration=False,
-    ).fit(features)
-
-
-def held_out(features: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Nine tenths to train on and one tenth to measure, by a hash of the id."""
-    test = F.pmod(F.xxhash64("corpus_id", F.lit(seed)), F.lit(10)) == 0
-    return features.filter(~test), features.filter(test)
-
-
-def perplexity(features: DataFrame, topics: int, iterations: list[int], seed: int = 42) -> DataFrame:
-    """``(iteration, log_perplexity)`` of the held-out tenth after each number of iterations."""
-    fit, test = held_out(features, seed)
-    rows = [(i, float(train(fit, topics, i, seed).logPerplexity(test))) for i in iterations]
-    return features.sparkSession.createDataFrame(rows, "iteration int, log_perplexity double")
-
-
-def topic_terms(model: LDAModel, vocabulary: list[str]) -> DataFrame:
-    """``(topic, term, p)``: p(term | topic)."""
-    described = model.describeTopics(maxTermsPerTopic=len(vocabulary))
-    spark = described.sparkSession
-    names = spark.createDataFrame(list(enumerate(vocabulary)), "term_id int, term string")
-    long = described.select("topic", F.inline(F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("p"))))
-    return long.join(names, "term_id").select("topic", "term", "p")
-
-
-def doc_topics(model: LDAModel, features: DataFrame) -> DataFrame:
-    """``(corpus_id, topic, p)``: p(topic | document)."""
-    mixed = model.transform(features).select("corpus_id", vector_to_array("topicDistribution").alias("v"))
-    return mixed.select("corpus_id", F.posexplode("v").alias("topic", "p"))
-
-
-def doc_vectors(model: LDAModel, features: DataFrame) -> DataFrame:
-    """``(point, v)``: topic vectors, the input of the clusterings."""
-    return model.transform(features).select(F.col("corpus_id").alias("point"), vector_to_array("topicDistribution").alias("v"))
-
-
-# --- training on tables, for any number of terms ------------------------------------------------------------
+def draw(of: Column, span: int) -> Column:
+    """A number from 0 to span - 1 that depends on a string only, the same in every engine with MD5."""
+    return F.conv(F.substring(F.md5(of), 1, 7), 16, 10).cast("long") % span
 
 
 def _shares(key: str, total: np.ndarray, alpha: float, eta: float, n_terms: int):
@@ -107,6 +51,8 @@ def _shares(key: str, total: np.ndarray, alpha: float, eta: float, n_terms: int)
 
     def task(batches):
         for batch in batches:
+            if len(batch) == 0:
+                continue
             doc, term = (np.array(batch[c].tolist(), dtype=np.float64) for c in ("doc_v", "term_v"))
             share = (doc + alpha) * (term + eta) / (total + eta * n_terms)
             share *= (batch["n"].to_numpy() / share.sum(1))[:, None]
@@ -118,6 +64,22 @@ def _shares(key: str, total: np.ndarray, alpha: float, eta: float, n_terms: int)
     return task
 
 
+def _likelihood(total: np.ndarray, eta: float, n_terms: int):
+    """Task that sums words and their logarithmic likelihood."""
+
+    def task(batches):
+        words, logs = 0.0, 0.0
+        for batch in batches:
+            if len(batch):
+                doc, term = (np.array(batch[c].tolist(), dtype=np.float64) for c in ("doc_v", "term_v"))
+                n = batch["n"].to_numpy()
+                words += n.sum()
+                logs += (n * np.log((doc * (term + eta) / (total + eta * n_terms)).sum(1))).sum()
+        yield pd.DataFrame({"words": [words], "logs": [logs]})
+
+    return task
+
+
 def _summed(words: DataFrame, key: str, task) -> DataFrame:
     partial = words.mapInPandas(task, f"{key} long, s array<double>")
     return partial.groupBy(key).agg(Summarizer.sum(array_to_vector("s")).alias("s")).select(key, vector_to_array("s").alias("v"))
@@ -127,47 +89,65 @@ def _unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda acc, y: acc + y))
 
 
-def train_tables(
-    corpus: DataFrame, terms: DataFrame, topics: int = TOPICS, iterations: int = ITERATIONS, seed: int = 42
+def train(
+    corpus: DataFrame,
+    topics: int = TOPICS,
+    iterations: int = ITERATIONS,
+    seed: int = 42,
+    measure_every: int = MEASURE_EVERY,
+    doc_smoothing: float = DOC_SMOOTHING,
 ) -> dict[str, DataFrame]:
-    """``topic_terms``, ``doc_topics`` and ``points`` by zero-order collapsed variational Bayes.
+    """``topic_terms``, ``doc_topics``, ``points`` and ``perplexity`` of a corpus.
 
-    A topic vector per document and one per term live in tables; an iteration joins them to the word counts
-    and sums the shares by document, then by term. Only the k topic totals pass through the driver. A term
-    is in at most a fifth of the documents, and adaptive execution splits the join of such a term.
+    Terms start from numbers drawn for (term, topic, seed), documents with equal topics; a document without terms of
+    the dictionary keeps equal topics. Only the topic totals pass through the driver. A term is in at most a fifth of the
+    documents, and adaptive execution splits the join of such a term. Every ``measure_every`` iterations the
+    perplexity of a tenth of the documents is taken with the model as it is; no model is trained twice.
     """
-    alpha, eta = DOC_SMOOTHING / topics, TERM_SMOOTHING
+    alpha, eta = doc_smoothing / topics, TERM_SMOOTHING
+    terms = checkpoint(dictionary(corpus))
     counts = checkpoint(term_counts(corpus, terms))
     n_terms = terms.count()
     at = F.sequence(F.lit(0), F.lit(topics - 1))
-    by_term = checkpoint(
-        terms.select(
-            "term_id",
-            F.transform(at, lambda t: (F.pmod(F.xxhash64("term_id", t, F.lit(seed)), F.lit(1_000_003)) + 1) / 1_000_003.0).alias("v"),
-        )
-    )
-    by_doc = checkpoint(counts.select("corpus_id").distinct().withColumn("v", F.transform(at, lambda t: F.lit(1.0 / topics))))
-
-    def words() -> DataFrame:
+    span = 1 << 28
+    start = F.transform(at, lambda t: (draw(F.concat_ws(":", "term", t.cast("string"), F.lit(str(seed))), span) + 1) / float(span))
+    by_term = checkpoint(terms.select("term_id", start.alias("v")))
+    equal = F.transform(at, lambda t: F.lit(1.0 / topics))
+    documents = checkpoint(corpus.select("corpus_id").distinct())
+    by_doc = checkpoint(documents.withColumn("v", equal))
+
+    def words(rows: DataFrame) -> DataFrame:
         return (
-            counts.join(by_doc.withColumnRenamed("v", "doc_v"), "corpus_id")
+            rows.join(by_doc.withColumnRenamed("v", "doc_v"), "corpus_id")
             .join(by_term.withColumnRenamed("v", "term_v"), "term_id")
             .select("corpus_id", "term_id", F.col("n").cast("double").alias("n"), "doc_v", "term_v")
         )
 
     def totals() -> np.ndarray:
-        return np.array(by_term.agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("t")).first()["t"])
+        found = by_term.agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("t")).first()["t"] if n_terms else None
+        return np.array(found if found is not None else np.ones(topics))
 
+    tested = counts.where(draw(F.col("corpus_id").cast("string"), MEASURED) == 0)
+    measured = []
     total = totals()
-    for _ in range(iterations):
-        summed = _summed(words(), "corpus_id", _shares("corpus_id", total, alpha, eta, n_terms))
-        by_doc = checkpoint(summed.withColumn("v", _unit(F.col("v"))))
-        by_term = checkpoint(_summed(words(), "term_id", _shares("term_id", total, alpha, eta, n_terms)))
+    for step in range(1, iterations + 1):
+        old = by_doc, by_term
+        summed = _summed(words(counts), "corpus_id", _shares("corpus_id", total, alpha, eta, n_terms)).withColumn("v", _unit(F.col("v")))
+        by_doc = checkpoint(documents.join(summed, "corpus_id", "left").withColumn("v", F.coalesce("v", equal)))
+        by_term = checkpoint(_summed(words(counts), "term_id", _shares("term_id", total, alpha, eta, n_terms)))
+        for table in old:
+            drop_step(table)
         total = totals()
+        if measure_every and step % measure_every == 0:
+            sums = words(tested).mapInPandas(_likelihood(total, eta, n_terms), "words double, logs double")
+            seen, logs = sums.agg(F.sum("words"), F.sum("logs")).first()
+            if seen:
+                measured.append((step, float(seen), -float(logs) / float(seen)))
     norm = F.array(*[F.lit(float(t)) for t in total])
     weights = by_term.join(terms, "term_id").select("term", F.posexplode(F.zip_with("v", norm, lambda a, b: a / b)).alias("topic", "p"))
     return {
         "topic_terms": weights.select("topic", "term", "p"),
         "doc_topics": by_doc.select("corpus_id", F.posexplode("v").alias("topic", "p")),
         "points": by_doc.select(F.col("corpus_id").alias("point"), "v"),
+        "perplexity": corpus.sparkSession.createDataFrame(measured, MEASURES),
     }

@@ -52,9 +52,10 @@ def corpus(
     unique = checkpoint(C.corpus_docs(tokens, ids))
     terms = checkpoint(C.mark_stop_words(C.doc_freq(unique), ids))
     options = [F.lit(v).alias(k) for k, v in (("by_paragraph", by_paragraph), ("split_underscore", split_underscore), ("long_stop_words", long_stop_words))]
+    record = F.regexp_replace("doc_id", "-[0-9]+$", "") if by_paragraph else F.col("doc_id")
     return {
         "docs": unique,
-        "id_index": C.id_index(tokens, ids),
+        "id_index": C.id_index(tokens, ids).withColumn("record_id", record),
         "corpus": C.strip_stop_words(unique, terms.filter("is_stop")),
         "doc_freq": terms,
         "stats": C.corpus_stats(tokens, by_paragraph).select("*", *options),
@@ -70,23 +71,29 @@ def _commit_facts(commits: DataFrame, tags: DataFrame) -> DataFrame:
     return described.select(F.col("id").alias("doc_id"), "ts", T.slash_date(F.col("ts")).alias("date"), "version", F.col("message").alias("text"))
 
 
-def corpus_of_log(commits: DataFrame, changes: DataFrame, tags: DataFrame, since=None, until=None, paths=None, **options) -> Tables:
-    """Corpus of a commit log, merges left out."""
+def _commit_corpus(log: DataFrame, files: DataFrame, tags: DataFrame, **options) -> Tables:
+    """The corpus of the commits, with facts and files of those that are in it."""
+    made = corpus(_commit_docs(log), **options)
+    kept = checkpoint(made["id_index"].select(F.col("record_id").alias("doc_id")).distinct())
+    facts = _commit_facts(log, tags).join(kept, "doc_id", "left_semi")
+    return {**made, "commits": facts, "files": files.withColumnRenamed("id", "doc_id").join(kept, "doc_id", "left_semi")}
+
+
+def corpus_of_log(commits: DataFrame, changes: DataFrame, tags: DataFrame, since=None, until=None, paths=None, merges=False, **options) -> Tables:
+    """Corpus of a commit log, merges left out unless asked."""
     files = S.files_changed(changes)
-    log = S.commit_log(commits, files, since, until, paths)
-    return {**corpus(_commit_docs(log), **options), "commits": _commit_facts(log, tags), "files": files.withColumnRenamed("id", "doc_id")}
+    return _commit_corpus(S.commit_log(commits, files, since, until, paths, merges), files, tags, **options)
 
 
 def corpus_of_ids(commits: DataFrame, changes: DataFrame, tags: DataFrame, ids: DataFrame, **options) -> Tables:
-    """Corpus of the listed commits."""
-    return corpus_of_log(S.listed_commits(commits, ids), changes, tags, **options)
+    """Corpus of the listed commits, merges included."""
+    return corpus_of_log(S.listed_commits(commits, ids), changes, tags, merges=True, **options)
 
 
 def corpus_of_stable(commits: DataFrame, changes: DataFrame, tags: DataFrame, paths=None, **options) -> Tables:
     """Corpus of the commits of stable series."""
     files = S.files_changed(changes)
-    log = S.stable_commits(commits, tags, files, paths).drop("version")
-    return {**corpus(_commit_docs(log), **options), "commits": _commit_facts(log, tags), "files": files.withColumnRenamed("id", "doc_id")}
+    return _commit_corpus(S.stable_commits(commits, tags, files, paths).drop("version"), files, tags, **options)
 
 
 def corpus_of_text(spark: SparkSession, path: str, separator: str, **options) -> Tables:
@@ -97,19 +104,9 @@ def corpus_of_text(spark: SparkSession, path: str, separator: str, **options) ->
 # --- topics ---------------------------------------------------------------------------------------------------
 
 
-def train_topics(corpus_docs: DataFrame, topics: int = lda.TOPICS, iterations: int = lda.ITERATIONS, seed: int = 42) -> Tables:
-    terms = checkpoint(lda.dictionary(corpus_docs))
-    if not lda.fits_driver(terms, topics):
-        return {**lda.train_tables(corpus_docs, terms, topics, iterations, seed), "row_ids": lda.row_ids(corpus_docs)}
-    features, vocabulary = lda.vectors(corpus_docs, terms, topics)
-    features = checkpoint(features)
-    model = lda.train(features, topics, iterations, seed)
-    return {
-        "topic_terms": lda.topic_terms(model, vocabulary),
-        "doc_topics": lda.doc_topics(model, features),
-        "points": lda.doc_vectors(model, features),
-        "row_ids": lda.row_ids(corpus_docs),
-    }
+def train_topics(corpus_docs: DataFrame, topics: int = lda.TOPICS, iterations: int = lda.ITERATIONS, **options) -> Tables:
+    """Topics of the corpus, the topics of every document, and the perplexity along the way."""
+    return {**lda.train(corpus_docs, topics, iterations, **options), "row_ids": lda.row_ids(corpus_docs)}
 
 
 def dump_topics(topic_terms: DataFrame, doc_topics: DataFrame, n: int = 30) -> Tables:
@@ -132,20 +129,34 @@ def document_group(points: DataFrame, group: DataFrame, n: int = 10) -> Tables:
     }
 
 
-def topic_trend(doc_topics: DataFrame, id_index: DataFrame, commits: DataFrame, changes: DataFrame, tags: DataFrame) -> Tables:
-    """p(topic | release) and p(topic | directory) over the originals of the corpus documents."""
-    in_corpus = S.no_merges(commits).join(id_index, commits["id"] == id_index["doc_id"]).select("corpus_id", "doc_id", "ts")
+def topic_trend(
+    doc_topics: DataFrame, id_index: DataFrame, commits: DataFrame, changes: DataFrame, tags: DataFrame, all_commits: bool = False
+) -> Tables:
+    """p(topic | release) and p(topic | directory) over the originals of the corpus documents.
+
+    The original of a paragraph is its commit (``record_id``). Shares are of the documents in the corpus, or, with
+    ``all_commits``, sums over the commits of the release or directory that are no merges.
+    """
+    log = S.no_merges(commits)
+    record = "record_id" if "record_id" in id_index.columns else "doc_id"
+    originals = id_index.select("corpus_id", "doc_id", F.col(record).alias("_record"))
+    in_corpus = checkpoint(commits.join(originals, commits["id"] == originals["_record"]).select("corpus_id", "doc_id", "id", "ts"))
     weights = id_index.join(doc_topics, "corpus_id").select("doc_id", "topic", "p")
-    released = asof.with_release(in_corpus, tags)
-    dirs = (
-        S.files_changed(changes)
-        .join(in_corpus.select(F.col("doc_id").alias("id")), "id")
-        .select(F.col("id").alias("doc_id"), F.explode(P.ancestors(F.col("path"))).alias("dir"))
-    )
-    return {
-        "by_release": W.topic_share(weights, released, "release", "doc_id"),
-        "by_directory": W.topic_share(weights, dirs, "dir", "doc_id"),
-    }
+    released = asof.with_release(in_corpus.select("doc_id", "id", "ts"), tags)
+    in_dirs = S.files_changed(changes).select("id", F.explode(P.ancestors(F.col("path"))).alias("dir")).distinct()
+    dirs = in_dirs.join(in_corpus.select("doc_id", "id"), "id").select("doc_id", "dir")
+    if not all_commits:
+        return {
+            "by_release": W.topic_share(weights, released, "release", "doc_id"),
+            "by_directory": W.topic_share(weights, dirs, "dir", "doc_id"),
+        }
+    commits_of = {"release": asof.with_release(log, tags).groupBy("release"), "dir": in_dirs.join(log.select("id"), "id", "left_semi").groupBy("dir")}
+    shares = {}
+    for name, key, table in (("by_release", "release", released), ("by_directory", "dir", dirs)):
+        summed = weights.join(table.select("doc_id", key), "doc_id").groupBy("topic", key).agg(F.sum("p").alias("p"))
+        total = commits_of[key].agg(F.countDistinct("id").alias("n"))
+        shares[name] = summed.join(total, key).select("topic", key, (F.col("p") / F.col("n")).alias("p"))
+    return shares
 
 
 def compare_tags(doc_tags: DataFrame, doc_topics: DataFrame, topic_terms: DataFrame) -> Tables:

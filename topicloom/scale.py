@@ -45,7 +45,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._step_path = path
+    return table
+
+
+def drop_step(table: DataFrame) -> None:
+    """Delete a table that :func:`checkpoint` wrote, once nothing reads it any more."""
+    path = getattr(table, "_step_path", None)
+    if path is None or "/step-" not in path:
+        raise ValueError("not a step table")
+    jvm = table.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ordered_index(df: DataFrame, order_by: list[str | Column], name: str = "idx") -> DataFrame:

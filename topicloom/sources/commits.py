@@ -27,9 +27,10 @@ def commit_log(
     since: str | None = None,
     until: str | None = None,
     paths: list[str] | None = None,
+    merges: bool = False,
 ) -> DataFrame:
-    """Commits in (since, until] that touch any of ``paths`` (files or directories), merges left out."""
-    log = no_merges(commits)
+    """Commits in (since, until] that touch any of ``paths`` (files or directories), merges left out unless asked."""
+    log = commits if merges else no_merges(commits)
     if since is not None:
         log = log.filter(F.col("ts") > F.lit(since).cast("timestamp"))
     if until is not None:

@@ -65,6 +65,40 @@ def test_bug_records(spark, tmp_path):
     assert crash.count() == 5 and crash.columns[:2] == ["key", "objective"]
 
 
+def test_an_id_in_two_files_is_one_record(spark, tmp_path):
+    fix = {"when": "run", "fix": "fs/a.c", "if": "", "errors": "leak"}
+    (tmp_path / "a.json").write_text(json.dumps({"s1": {"type": fix}, "s2": {"type": "clean"}}))
+    (tmp_path / "b.json").write_text(json.dumps({"s1": {"type": "doc:x"}}))
+    taxonomy = spark.createDataFrame([], "error string, class string, subclass string")
+    records = B.to_records(B.fixes(B.read_bug_files(spark, str(tmp_path))), taxonomy)
+    assert {tuple(r) for r in records.keys.collect()} == {("s1", "b"), ("s2", "a")}
+    assert {tuple(r) for r in X.contingency(records).collect()} == {("b", "fixclass:doc", 1), ("a", "fixclass:clean", 1)}
+
+
+def test_malformed_fixes_are_listed(spark, tmp_path):
+    whole = {"when": "run", "fix": "fs/a.c", "if": "", "errors": "leak"}
+    bugs = {"ok": {"type": whole}, "build": {"type": {"when": "build:x"}}, "class": {"type": "clean"}}
+    bugs |= {"no-if": {"type": {k: v for k, v in whole.items() if k != "if"}}, "none": {"type": [whole, {"note": 1}]}}
+    (tmp_path / "a.json").write_text(json.dumps(bugs))
+    got = B.malformed(B.fixes(B.read_bug_files(spark, str(tmp_path))))
+    assert {(r["key"], tuple(r["missing"])) for r in got.collect()} == {("no-if", ("if",)), ("none-F1", ("when", "fix", "if", "errors"))}
+
+
+def test_wide_tables_in_column_groups(spark, tmp_path, monkeypatch):
+    keys = spark.createDataFrame([("k1", "o"), ("k2", "o"), ("k3", "p")], "key string, objective string")
+    labels = spark.createDataFrame([("k1", f"v{i}") for i in range(7)] + [("k2", "v3")], "key string, var string")
+    records = X.Records(keys, labels)
+    for name, columns in (("one", 5_000), ("many", 3)):
+        monkeypatch.setattr(X, "MAX_COLUMNS", columns)
+        ST.write_crosstab(records, str(tmp_path / name))
+        back = ST.read_crosstab(spark, str(tmp_path / name))
+        assert {tuple(r) for r in back.keys.collect()} == {tuple(r) for r in keys.collect()}
+        assert {tuple(r) for r in back.labels.collect()} == {tuple(r) for r in labels.collect()}
+    matrix = spark.createDataFrame([(f"r{i % 2}", f"c{i}", float(i)) for i in range(7)], "row string, col string, value double")
+    ST.write_matrix_wide(matrix, str(tmp_path / "m"))
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["columns-0", "columns-1", "columns-2"]
+
+
 def test_dendrogram_csv(spark, tmp_path):
     (tmp_path / "c.csv").write_text(
         "#id,size\n0,1,0.0,2,-1,-1,T1-a,0.7,0\n1,1,0.0,2,-1,-1,1\n2,2,0.5,-1,0,1,T1-a,0.4,T2-b,0.1,0,1\n"

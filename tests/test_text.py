@@ -62,13 +62,29 @@ def test_copies_share_a_dense_id(spark):
     assert index == {0: 0, 1: 1, 2: 0, 3: 2}
 
 
-def test_long_stop_list_is_joined(spark, monkeypatch):
-    corpus = spark.createDataFrame([(0, ["a", "b", "a", "c"]), (1, ["a"])], "corpus_id long, tokens array<string>")
-    stops = spark.createDataFrame([("a",), ("x",)], "term string")
-    short = {r["corpus_id"]: r["tokens"] for r in C.strip_stop_words(corpus, stops).collect()}
-    monkeypatch.setattr(C, "INLINE_STOP_TERMS", 1)
-    long = {r["corpus_id"]: r["tokens"] for r in C.strip_stop_words(corpus, stops).collect()}
-    assert short == long == {0: ["b", "c"]}
+def test_any_stop_list_keeps_rows_and_columns(spark):
+    corpus = spark.createDataFrame([(0, 2, ["a", "b", "a", "c"]), (1, 1, ["a"])], "corpus_id long, copies long, tokens array<string>")
+    for words in (["a"], ["a", "x"], ["a", *(f"x{i}" for i in range(6000))]):
+        kept = C.strip_stop_words(corpus, spark.createDataFrame([(w,) for w in words], "term string"))
+        assert kept.columns == corpus.columns and [tuple(r) for r in kept.collect()] == [(0, 2, ["b", "c"])]
+    assert C.strip_stop_words(corpus, spark.createDataFrame([], "term string")).count() == 2
+
+
+def test_no_rules_match_nothing(spark):
+    from topicloom.functions import keywords as K
+
+    texts = docs(spark, "a leak", "b")
+    some, none = (K.match_rules(texts, rules) for rules in (K.DEFAULT_RULES, []))
+    assert none.columns == some.columns and none.count() == 0
+    assert K.match_groups(texts, []).count() == 0
+
+
+def test_crash_detail(spark):
+    from topicloom.functions.labels import _error_labels
+
+    asked = spark.createDataFrame([(x,) for x in ("crash", "crash:", "crash:oops", "crash::x", "leak:a")], "e string")
+    got = [r[0] for r in asked.select(_error_labels(F.col("e"))).collect()]
+    assert [x[1:] for x in got] == [["crash:None"], ["crash:None"], ["crash:oops"], ["crash:"], []]
 
 
 def test_subject_and_date(spark):

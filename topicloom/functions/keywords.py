@@ -70,7 +70,9 @@ def _slices(rules: Rules) -> Iterator[list[tuple[str, str]]]:
 
 
 def _per_slice(rules: Rules, one_pass) -> DataFrame:
-    return reduce(DataFrame.unionByName, [one_pass(part) for part in _slices(rules)])
+    passes = [one_pass(part) for part in _slices(rules)]
+    # without rules there is no row, but the columns are the same
+    return reduce(DataFrame.unionByName, passes) if passes else one_pass([("", "(?!)")]).limit(0)
 
 
 def matched_names(low: Column, rules: list[tuple[str, str]]) -> Column:

@@ -41,7 +41,9 @@ def _location_labels(parts: Column) -> Column:
 
 
 def _error_labels(error: Column) -> Column:
-    detail = F.coalesce(F.nullif(F.split_part(error, F.lit(":"), F.lit(2)), F.lit("")), F.lit("None"))
+    # colons at the end part nothing; an empty part before another one stays empty
+    parts = F.split(F.regexp_replace(error, ":+$", ""), ":")
+    detail = F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(F.lit("None"))
     return F.array_compact(
         F.array(
             F.concat(F.lit("error:"), head(error)),

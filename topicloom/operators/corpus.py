@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
-from topicloom.scale import count_within, ordered_index, spread
+from topicloom.scale import ordered_index, spread
 
 STOP_SHARE = 5  # a term in more than floor(N / 5) documents is a corpus stop word
-INLINE_STOP_TERMS = 5_000
 
 
 def tokenize(
@@ -46,12 +45,12 @@ def stem(docs: DataFrame, stems: DataFrame) -> DataFrame:
     return stemmed.groupBy("doc_id").agg(F.transform(ordered, lambda a: a["word"]).alias("tokens"))
 
 
-def copies(docs: DataFrame, order_col: str = "doc_id") -> DataFrame:
+def copies(docs: DataFrame) -> DataFrame:
     """``(hash, first_id, copies)``: one row per distinct content, pre-aggregated before the shuffle."""
     return (
-        docs.select(T.content_hash(F.col("tokens")).alias("hash"), F.col(order_col).alias("_ord"))
+        docs.select(T.content_hash(F.col("tokens")).alias("hash"), "doc_id")
         .groupBy("hash")
-        .agg(F.min("_ord").alias("first_id"), F.count("*").alias("copies"))
+        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     )
 
 
@@ -100,24 +99,18 @@ def mark_stop_words(df_table: DataFrame, groups: DataFrame) -> DataFrame:
     return df_table.withColumn("is_stop", F.col("df") > stop_limit(n_docs))
 
 
-def strip_stop_words(corpus: DataFrame, stops: DataFrame, id_col: str = "corpus_id") -> DataFrame:
-    """Remove the terms of ``stops(term)`` and drop documents that become empty.
+def strip_stop_words(corpus: DataFrame, stops: DataFrame) -> DataFrame:
+    """Remove the terms of ``stops(term)`` and drop documents that become empty; other columns stay.
 
-    Fewer than 5 x (mean distinct terms of a document) terms can be corpus stop words, so the list is
-    normally short and filters the tokens in place. A longer list is joined instead.
+    Corpus stop words are few by arithmetic: a term in more than a fifth of the documents uses up more than a
+    fifth of a document's distinct terms, so there are fewer than 5 x (mean distinct terms of a document),
+    however many documents there are. They become one hashed set in the plan.
     """
-    if count_within(stops, INLINE_STOP_TERMS) is not None:
-        words = stops.agg(F.coalesce(F.collect_list("term"), F.array())).scalar()
-        kept = corpus.withColumn("_stops", words).select(
-            *[c for c in corpus.columns if c != "tokens"],
-            F.filter("tokens", lambda t: ~F.array_contains(F.col("_stops"), t)).alias("tokens"),
-        )
-        return kept.filter(F.size("tokens") > 0)
-    words = corpus.select(id_col, F.posexplode("tokens").alias("pos", "term")).join(
-        stops.select("term"), "term", "left_anti"
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "term")))
-    return words.groupBy(id_col).agg(F.transform(ordered, lambda a: a["term"]).alias("tokens"))
+    words = [r["term"] for r in stops.select("term").distinct().orderBy("term").collect()]
+    if not words:
+        return corpus.filter(F.size("tokens") > 0)
+    kept = corpus.withColumn("tokens", F.filter("tokens", lambda t: ~t.isin(words)))
+    return kept.filter(F.size("tokens") > 0)
 
 
 def corpus_stats(docs: DataFrame, by_paragraph: bool = False) -> DataFrame:

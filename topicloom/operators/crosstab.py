@@ -6,14 +6,14 @@ distinct. A record without labels keeps its key and counts as a row of zeros.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.scale import count_within
-
-MAX_COLUMNS = 5_000
+MAX_COLUMNS = 5_000  # of one wide table; more labels make more tables
 
 
 class Records(NamedTuple):
@@ -79,23 +79,39 @@ def counts_with_total(records: Records) -> DataFrame:
     return both.orderBy("_last", F.desc("n"), "var").drop("_last")
 
 
-def _columns(labels: DataFrame, order) -> list[str]:
-    if count_within(labels, MAX_COLUMNS) is None:
-        raise ValueError("too many labels for columns; use the long form")
-    return [r["var"] for r in labels.orderBy(*order).collect()]
+def column_groups(names: DataFrame, order: list) -> Iterator[list[str]]:
+    """The first column of ``names`` in order, in lists of bounded length; one empty list if there are none."""
+    rows = names.orderBy(*order).toLocalIterator()
+    part = [r[0] for r in islice(rows, MAX_COLUMNS)]
+    while True:
+        yield part
+        if not (part := [r[0] for r in islice(rows, MAX_COLUMNS)]):
+            return
+
+
+def by_count(records: Records) -> Iterator[list[str]]:
+    return column_groups(label_counts(records), [F.desc("n"), "var"])
+
+
+def by_name(records: Records) -> Iterator[list[str]]:
+    return column_groups(records.labels.select("var").distinct(), ["var"])
+
 
+def contingency_wide(records: Records, names: list[str] | None = None) -> DataFrame:
+    """One row per objective, one column per label, columns by total descending.
 
-def contingency_wide(records: Records) -> DataFrame:
-    """One row per objective, one column per label, columns by total descending."""
-    names = _columns(label_counts(records), [F.desc("n"), "var"])
+    ``names`` are the labels to show; without them the first group of ``by_count``, which is all unless there are
+    more than MAX_COLUMNS.
+    """
+    names = next(by_count(records)) if names is None else names
     counts = contingency(records).groupBy("objective").pivot("var", names).agg(F.first("n"))
     every = records.keys.select("objective").distinct().join(counts, "objective", "left")
     return every.fillna(0, names)
 
 
-def binary_wide(records: Records) -> DataFrame:
-    """One 0/1 row per record, columns in name order."""
-    names = _columns(records.labels.select("var").distinct(), ["var"])
+def binary_wide(records: Records, names: list[str] | None = None) -> DataFrame:
+    """One 0/1 row per record, columns in name order; ``names`` as in :func:`contingency_wide`, by ``by_name``."""
+    names = next(by_name(records)) if names is None else names
     cells = records.labels.groupBy("key").pivot("var", names).agg(F.lit(1))
     return records.keys.join(cells, "key", "left").fillna(0, names)
 

@@ -70,11 +70,9 @@ def summarize(assigned: DataFrame, keys: list[str]) -> DataFrame:
 def seeds(points: DataFrame, sizes: DataFrame, tries: int, seed: int, broadcast: bool) -> DataFrame:
     """``(parent, try, c0, c1)``: the mean of up to ten random points for each child.
 
-    Points are ordered by a hash of (id, seed, try). A point whose hash lies above a threshold that leaves
-    about CANDIDATES points of the parent is not looked at further.
+    Points are ordered by a hash of (id, seed, try); every task keeps its first ones, the first of these are taken.
     """
     span = 1 << 30
-    limit = F.least(F.lit(span), F.ceil(F.lit(float(CANDIDATES) * span) / F.col("size")))
 
     def draw(t: Column) -> Column:
         return F.pmod(F.xxhash64(F.col("point"), F.lit(seed), t), F.lit(span))
@@ -82,7 +80,7 @@ def seeds(points: DataFrame, sizes: DataFrame, tries: int, seed: int, broadcast:
     drawn = _meet(points.select("parent", "point"), sizes.select("parent", "size"), broadcast).select(
         "parent",
         "point",
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: draw(t) < limit)).alias("try"),
+        F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"),
     )
     order = Window.partitionBy("parent", "try").orderBy(draw(F.col("try")), "point")
     picked = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= 2 * SEED_POINTS)

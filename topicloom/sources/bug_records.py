@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.functions.labels import fix_labels
+from topicloom.functions.labels import fix_labels, string_or_array
 from topicloom.operators.crosstab import Records
 from topicloom.scale import SMALL_ROWS, count_within, spread
 
 
 def read_bug_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(objective, id, type)`` of every ``.json`` file in a folder; the file name is the objective."""
+    """``(objective, id, type)`` of every ``.json`` file in a folder; the file name is the objective.
+
+    An id that is in several files is one record, that of the last file by name.
+    """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
     stem = F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]*)\.json$", 1)
     parsed = files.select(stem.alias("objective"), F.parse_json("value").alias("bugs"))
     entries = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("bugs").outer()))
-    return entries.select(
+    found = entries.select(
         "objective", F.col("key").alias("id"), F.variant_get("value", "$.type", "variant").alias("type")
     )
+    last = found.groupBy("id").agg(F.max("objective").alias("objective"))
+    return found.join(last, ["objective", "id"], "left_semi")
+
+
+def malformed(fix_table: DataFrame) -> DataFrame:
+    """``(objective, key, missing)`` of fixes that are no build failures and lack fields that labels come from.
+
+    Labels are made of what is there; look at this table before trusting counts.
+    """
+    fix = F.col("fix")
+    fields = {"when": F.try_variant_get(fix, "$.when", "string")} | {
+        name: string_or_array(fix, f"$.{name}") for name in ("fix", "if", "errors")
+    }
+    absent = F.array_compact(F.array(*(F.when(_nothing(value), F.lit(name)) for name, value in fields.items())))
+    built = F.coalesce(F.startswith(fields["when"], F.lit("build")), F.lit(False))
+    asked = fix_table.where("kind = 'fix'").select("objective", "key", F.when(~built, absent).alias("missing"))
+    return asked.where(F.size("missing") > 0)
+
+
+def _nothing(value: Column) -> Column:
+    """Null, or an array that holds nothing but null."""
+    return F.coalesce(F.to_json(F.array(value)).isin("[null]", "[]", "[[null]]"), F.lit(True))
 
 
 def fixes(bugs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.batches import ascii_words, slices
@@ -31,7 +31,7 @@ SEED, SHINGLE, DISTANCE = 42, 4, 4
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 
 BLOCK = 1024  # rows of one side that meet in one step
-FEW = 4096  # comparisons for one segment value up to which a join makes them
+FEW = 64  # fingerprints with one segment value up to which a join compares them
 
 
 def fingerprints_of(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
@@ -65,17 +65,24 @@ def fingerprints_of(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def row_key() -> Column:
+    """Equal for equal rows; id and text are hashed together."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every whole text as a signed long; null and blank texts have 0."""
+    """``key, doc_id, fp``: the fingerprint of every whole text as a signed long; null and blank texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = fingerprints_of(part.column("text")).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("doc_id"), pa.array(fp)], names=["key", "doc_id", "fp"]
+                )
 
-    picked = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    picked = documents.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return picked.mapInArrow(run, "key long, doc_id long, fp long")
 
 
 def _lookups(fps: DataFrame) -> DataFrame:
@@ -132,28 +139,23 @@ def _links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """``a, b``: links that connect whatever ``DISTANCE`` connects, among different fingerprints (column ``fp``).
 
-    Where few rows share a segment value, a join compares them. Where many do, they are cut into blocks, and
-    each pair of blocks is a group of its own that gives back a forest, so that no group holds more than
-    about two blocks and no value emits all its pairs.
+    Where few fingerprints share a segment value, a join compares them. Where many do, they are cut into
+    blocks, and each pair of blocks is a group of its own that gives back a forest, so that no group holds more
+    than about two blocks and no value emits all its pairs.
     """
     rows = _lookups(fps)
-    used = rows.groupBy("key").agg(
-        F.count_if(~F.col("probe")).alias("entries"), F.count_if(F.col("probe")).alias("probes")
-    )
-    # a key that no two rows share needs no look
-    used = checkpoint(used.where((F.col("entries") > 0) & (F.col("entries") + F.col("probes") > 1)))
-    few = used.where(F.col("entries") * (F.col("entries") + F.col("probes")) <= FEW).select("key")
-    left = rows.join(few, "key")
-    right = rows.where("not probe").join(few, "key").select("key", F.col("fp").alias("b"))
-    pairs = left.withColumnRenamed("fp", "a").join(
-        right, (left.key == right.key) & F.expr(f"a > b and bit_count(a ^ b) <= {DISTANCE}")
+    entries = rows.where("not probe")
+    held = entries.groupBy("key").agg(F.count("*").alias("entries"))
+    crowded = checkpoint(held.where(F.col("entries") > FEW))
+    few = rows.join(crowded, "key", "left_anti").withColumnRenamed("fp", "a")
+    table = entries.select(F.col("key").alias("entry"), F.col("fp").alias("b"))
+    # both ends look each other up, so one direction is enough
+    pairs = few.join(table, F.expr(f"key = entry and a > b and bit_count(a ^ b) <= {DISTANCE}"))
+    met = rows.join(crowded, "key")
+    many = met.groupBy("key").agg(
+        F.ceil(F.count_if(~F.col("probe")) / BLOCK).cast("int").alias("right"), F.ceil(F.count("*") / BLOCK).cast("int").alias("left")
     )
-    many = used.where(F.col("entries") * (F.col("entries") + F.col("probes")) > FEW).select(
-        "key",
-        F.ceil(F.col("entries") / BLOCK).cast("int").alias("right"),
-        F.ceil((F.col("entries") + F.col("probes")) / BLOCK).cast("int").alias("left"),
-    )
-    met = rows.join(many, "key").withColumn("spot", F.pmod(F.xxhash64("fp", "probe"), F.lit(1 << 30)).cast("int"))
+    met = met.join(checkpoint(many), "key").withColumn("spot", F.pmod(F.xxhash64("fp", "probe"), F.lit(1 << 30)).cast("int"))
     # every row looks up from one left block into all right blocks; entries also stand in a right block
     lefts = met.select(
         "key", F.pmod("spot", "left").alias("x"), F.explode(F.sequence(F.lit(0), F.col("right") - 1)).alias("y"),
@@ -168,7 +170,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id that a document reaches over links, itself included.
+    """``key, doc_id, fp, component_id``: the smallest id that a document reaches over links, itself included.
 
     Repeated ids give repeated rows. A null id takes part in links and is never the smallest, unless there is
     no other. Texts that are null, empty or blank share the fingerprint 0, which links like any other.
@@ -184,4 +186,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return marked.join(checkpoint(named.join(least, "class").select("fp", "component_id")), "fp")
 
 
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The documents without near-duplicates: of each group the one with the smallest id stays.
+
+    Of several texts with that id, and of equal rows, one stays. Columns stay as they are.
+    """
+    found = near_duplicates(documents)
+    chosen = (
+        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("component_id")
+        .agg(F.min(F.struct("fp", "key")).alias("least"))
+        .select(F.col("least.key").alias("_key"))
+    )
+    marked = documents.withColumn("_key", row_key())
+    return marked.join(checkpoint(chosen), "_key", "left_semi").dropDuplicates(["_key"]).select(*documents.columns)
+
+
 ship_with_tasks(__name__)

@@ -57,7 +57,24 @@ def changed_files(spark, sf):
     return G.files_changed(S.changes(spark, sf))
 
 
+def release_tags(spark, sf):
+    """Tags of the hours, those of odd days without a time."""
+    day = F.dayofmonth("ts")
+    return G.release_tags(S.tags(spark, sf).withColumn("ts", F.when(day % 2 == 0, F.col("ts")))).select("tag")
+
+
+def merged_list(spark, sf):
+    """Corpus source of a list of commits: merges that are listed stay."""
+    ids = S.commits(spark, sf).filter("id % 3 = 0").select("id")
+    return G.commit_log(G.listed_commits(S.commits(spark, sf), ids), merges=True).select("id", "n_parents")
+
+
 QUERIES = {
+    "release_tags": (release_tags, f"with {S.SQL_TAGS} select tag from tags where day(ts) % 2 = 0"),
+    "merged_list": (
+        merged_list,
+        "select event_id as id, case when event_type = 'error' then 2 else 1 end as n_parents from events where event_id % 3 = 0",
+    ),
     "release_asof": (
         release_asof,
         f"""with {S.SQL_TAGS}, {SQL_RELEASES}

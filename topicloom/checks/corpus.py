@@ -80,6 +80,23 @@ def paragraph_docs(spark, sf):
     return docs.select("doc_id", F.array_join("tokens", " ").alias("body"))
 
 
+def _signed(spark, sf):
+    """Every text with a second paragraph, a signature on every other one."""
+    last = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Signed-off-by: "), "source")).otherwise(F.concat(F.lit("Second paragraph of "), "source"))
+    return table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n\n"), last).alias("text"))
+
+
+def signed_paragraphs(spark, sf):
+    docs = C.tokenize(_signed(spark, sf), by_paragraph=True)
+    return docs.select("doc_id", F.array_join("tokens", " ").alias("body"))
+
+
+def subjects(spark, sf):
+    """First line, and a digest of the cleaned text."""
+    docs = table(spark, sf, "documents").select("doc_id", T.subject(F.col("text")).alias("subject"))
+    return docs.select("doc_id", F.md5("subject").alias("subject_md5"), F.length("subject").cast("long").alias("n_chars"))
+
+
 def dedup_groups(spark, sf):
     docs = _docs(spark, sf)
     return C.copies(docs).select("first_id", "copies", F.length("hash").cast("long").alias("hash_len"))
@@ -139,6 +156,19 @@ with paras as (select doc_id, list_filter(list_transform({sql_paragraphs('text',
 numbered as (select doc_id, unnest(ps) as tokens, unnest(range(len(ps))) as n from paras)
 select concat(doc_id, '-', n) as doc_id, array_to_string(tokens, ' ') as body from numbered""",
     ),
+    "signed_paragraphs": (
+        signed_paragraphs,
+        f"""
+with signed as (select doc_id, text || E'\\n\\n' || case when doc_id % 2 = 0 then 'Signed-off-by: ' else 'Second paragraph of ' end || source as text
+                from documents),
+paras as (select doc_id, list_filter(list_transform({sql_paragraphs('text')}, lambda p: {sql_tokens('p')}), lambda x: len(x) >= 2) as ps from signed),
+numbered as (select doc_id, unnest(ps) as tokens, unnest(range(len(ps))) as n from paras)
+select concat(doc_id, '-', n) as doc_id, array_to_string(tokens, ' ') as body from numbered""",
+    ),
+    "subjects": (
+        subjects,
+        "select doc_id, md5(split_part(text, chr(10), 1)) as subject_md5, length(split_part(text, chr(10), 1)) as n_chars from documents",
+    ),
     "dedup_groups": (dedup_groups, sql_corpus() + "select first_id, copies, cast(128 as bigint) as hash_len from groups"),
     "corpus_ids": (
         corpus_ids,

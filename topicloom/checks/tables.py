@@ -38,6 +38,13 @@ def row_entropy(spark, sf):
     return e.select("row", F.round("entropy", 6).alias("entropy")).orderBy("entropy", "row")
 
 
+def rows_by_entropy(spark, sf):
+    """Rows of the joint matrix by entropy, with their cells counted and their largest one."""
+    m = M.joint(S.doc_tags(spark, sf), S.doc_topics(spark, sf))
+    ordered = M.sort_rows_by_entropy(M.normalize_rows(m)).groupBy("row", F.round("entropy", 6).alias("entropy"))
+    return ordered.agg(F.count("*").alias("n"), F.round(F.max("value"), 7).alias("most"))
+
+
 def matrix_cells(spark, sf):
     """(A o A') / (A + A') of the joint matrix and its halved, twice transposed copy."""
     a = M.joint(S.doc_tags(spark, sf), S.doc_topics(spark, sf))
@@ -230,6 +237,11 @@ select tag as row, cast(topic as int) as col, round(value, 9) as value,
         row_entropy,
         f"""with {S.SQL_TAG_MATRIX}, q as (select tag, value / sum(value) over (partition by tag) as v from both_p)
 select tag as row, round(-sum(v * log2(v)), 6) as entropy from q group by tag""",
+    ),
+    "rows_by_entropy": (
+        rows_by_entropy,
+        f"""with {S.SQL_TAG_MATRIX}, q as (select tag, value / sum(value) over (partition by tag) as v from both_p)
+select tag as row, round(-sum(v * log2(v)), 6) as entropy, count(*) as n, round(max(v), 7) as most from q group by tag""",
     ),
     "matrix_cells": (
         matrix_cells,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.checks import standins as S
@@ -11,6 +14,7 @@ from topicloom.functions import paths, vectors
 from topicloom.operators import asof
 from topicloom.operators import corpus as C
 from topicloom.operators import topics as P
+from topicloom.plans import pipelines as PL
 
 
 def top_topics(spark, sf):
@@ -74,6 +78,35 @@ def topic_by_release(spark, sf):
     return P.topic_share(w, in_corpus, "release").withColumn("p", F.round("p", 6))
 
 
+def paragraph_trend(spark, sf):
+    """The trend of a corpus of paragraphs, two of each commit, in both denominators."""
+    vectors_ = S.vectors_of(spark, sf)
+    number = F.explode(F.array(F.lit("-0"), F.lit("-1")))
+    index = vectors_.select(F.col("doc").alias("corpus_id"), number.alias("_n"), F.col("doc").alias("record_id")).select(
+        "corpus_id", F.concat(F.col("corpus_id").cast("string"), "_n").alias("doc_id"), "record_id"
+    )
+    doc_topics = S.weights(spark, sf).withColumnRenamed("doc", "corpus_id")
+    found = []
+    for all_commits in (False, True):
+        trend = PL.topic_trend(doc_topics, index, S.commits(spark, sf), S.changes(spark, sf), S.tags(spark, sf), all_commits)
+        for name, key in (("by_release", "release"), ("by_directory", "dir")):
+            found.append(trend[name].select(F.lit(all_commits).alias("all_commits"), "topic", F.col(key).alias("place"), F.round("p", 6).alias("p")))
+    return reduce(DataFrame.unionByName, found)
+
+
+_SQL_PARAGRAPH_TREND = f"""with {S.SQL_WEIGHTS}, {S.SQL_TAGS}, {S.SQL_FILES}, {S.SQL_DIRS},
+releases as (select max(tag) as tag, ts from tags where not contains(tag, 'rc') and not contains(tag, '-') and starts_with(tag, 'v') group by ts),
+rel as (select event_id as id, event_type = 'error' as is_merge, coalesce(tag, 'rc') as place from events e asof left join releases r on e.ts >= r.ts),
+places as (select id, is_merge, place from rel
+  union all select dirs.id, event_type = 'error' as is_merge, dir as place from dirs join events on event_id = dirs.id),
+docs as (select id, place, unnest([0, 1]) as k from places where id in (select doc from vecs)),
+sums as (select topic, place, sum(p) as s from docs join w on w.doc = docs.id group by topic, place),
+few as (select place, count(*) as n from docs group by place),
+every as (select place, count(distinct id) as n from places where not is_merge group by place)
+select false as all_commits, cast(topic as int) as topic, place, round(s / n, 6) as p from sums join few using (place)
+union all select true, cast(topic as int), place, round(s / n, 6) from sums join every using (place)"""
+
+
 def path_ancestors(spark, sf):
     path = F.regexp_extract("url", r"^https?://([^?#]*)", 1)
     return table(spark, sf, "pages").select("page_id", F.explode(paths.ancestors(path)).alias("dir"))
@@ -147,6 +180,7 @@ n as (select release, count(*) as n from rel group by release)
 select cast(topic as int) as topic, release, round(sum(p) / max(n), 6) as p
 from w join rel using (doc) join n using (release) group by topic, release""",
     ),
+    "paragraph_trend": (paragraph_trend, _SQL_PARAGRAPH_TREND),
     "path_ancestors": (
         path_ancestors,
         """with parts as (select page_id, string_split(regexp_extract(url, '^https?://([^?#]*)', 1), '/') as s from pages)

@@ -50,14 +50,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return table
 
 
-def drop_step(table: DataFrame) -> None:
-    """Delete a table that :func:`checkpoint` wrote, once nothing reads it any more."""
-    path = getattr(table, "_step_path", None)
-    if path is None or "/step-" not in path:
-        raise ValueError("not a step table")
-    jvm = table.sparkSession._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+def drop_step(*tables: DataFrame) -> None:
+    """Delete tables that :func:`checkpoint` wrote, once nothing reads them any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_step_path", None)
+        if path is not None and "/step-" in path:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ordered_index(df: DataFrame, order_by: list[str | Column], name: str = "idx") -> DataFrame:

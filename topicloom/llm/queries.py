@@ -37,6 +37,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.format_turns(given.unionByName(added)))
 
 
+_SQL_CHAT = rf"""with given as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '{HOSTILE}'), (-7, 1, 'assistant', '{HOSTILE}')
+),
+shown as (
+  select *, case when contains(text, '\') or contains(text, '</turn>' || chr(10))
+    then replace(replace(text, '\', '\\'), '</turn>', '\</turn>') else text end as escaped from given
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('### ') + length(role) + length(': ') + length(escaped) + length('</turn>') + 1)::bigint as formatted_chars
+from shown group by conv_id"""
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).withColumn(
         "detections", F.to_json("detections")
@@ -78,7 +94,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_spotsigs": (op1_spotsigs, None),
     "op2_simhash": (op2_simhash, None),
-    "op3_chat_format": (op3_chat_format, None),
+    "op3_chat_format": (op3_chat_format, _SQL_CHAT),
     "op4_license_scan": (op4_license_scan, None),
     "op5_html_text": (op5_html_text, None),
     "op6_passages": (op6_passages, None),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.scale import checkpoint
+from topicloom.scale import checkpoint, drop_step
 
 
 def smallest_reachable(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -27,7 +27,9 @@ def smallest_reachable(links: DataFrame, a: str, b: str, name: str) -> DataFrame
         large = checkpoint(large.where("x <> y"))
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y")
+        old = edges, large
         edges = checkpoint(small.union(least.select("x", "m")).distinct())
+        drop_step(*old)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         if state == before:
             break

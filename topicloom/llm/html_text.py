@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.batches import slices
-from topicloom.scale import checkpoint, ordered_index, ship_with_tasks
+from topicloom.scale import checkpoint, drop_step, ordered_index, ship_with_tasks
 
 # Tags without an end tag; tags that end a line; tags whose content is no text; tags of boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -147,15 +147,20 @@ def _hashes(lines: list[tuple[str, int]]) -> list[int]:
     return [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) for text, _ in lines]
 
 
-def main_text(lines: list[tuple[str, int]], neighbour: list[int] | None) -> str:
-    """The lines that are neither shared with the neighbour nor marked, one per line."""
-    shared = set(common_places(np.array(_hashes(lines), np.int64), np.array(neighbour, np.int64))) if neighbour else set()
+def candidates(lines: list[tuple[str, int]]) -> list[tuple[str, int, bool]]:
+    """Lines that can be in the main text: text, place among all lines, and whether they stay even if shared."""
     has_article = any(zone in (INSIDE, OWN) for _, zone in lines)
-    return "\n".join(
-        text
-        for i, (text, zone) in enumerate(lines)
-        if zone == OWN or (zone == INSIDE and i not in shared) or (zone == PLAIN and not has_article and i not in shared)
-    )
+    return [
+        (text, place, zone == OWN)
+        for place, (text, zone) in enumerate(lines)
+        if zone in (OWN, INSIDE) or (zone == PLAIN and not has_article)
+    ]
+
+
+def main_text(lines: list[tuple[str, int]], neighbour: list[int] | None) -> str:
+    """The main text of one page, given the line hashes of its neighbour."""
+    shared = set(common_places(np.array(_hashes(lines), np.int64), np.array(neighbour or [], np.int64)))
+    return "\n".join(text for text, place, sure in candidates(lines) if sure or place not in shared)
 
 
 def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,32 +173,49 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_CANDIDATES = pa.list_(pa.struct([("text", pa.string()), ("place", pa.int32()), ("sure", pa.bool_())]))
+
+
+def _candidate_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
-            made = [main_text(lines_of(x), n) for x, n in zip(part.column("html").to_pylist(), part.column("neighbour").to_pylist(), strict=True)]
+            made = [[dict(zip(("text", "place", "sure"), c, strict=True)) for c in candidates(lines_of(x))] for x in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
+                [part.column("key"), part.column("page_id"), part.column("url"), pa.array(made, _CANDIDATES)],
+                names=["key", "page_id", "url", "candidates"],
             )
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """``key, neighbour``: for each different page of a host the line hashes of the page before it by path, or else behind it.
+def _shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("lines").to_pylist(), batch.column("neighbour").to_pylist(), strict=True)
+        made = [common_places(np.array(a, np.int64), np.array(b or [], np.int64)) for a, b in pairs]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host"), batch.column("content"), pa.array(made, pa.list_(pa.int32()))], names=["host", "content", "shared"]
+        )
+
 
-    Only hashes of lines are ordered and joined. Pages with the same lines on a host are one, so that a copy is
-    never compared with itself.
+def shared_lines(pages: DataFrame) -> DataFrame:
+    """``key, shared``: for each page the places of the lines that it shares with the page before it by path, or else behind it.
+
+    Only hashes of lines are ordered, joined and aligned. Pages with the same lines on a host are one, so that a copy
+    is never compared with itself.
     """
     hashed = checkpoint(pages.mapInArrow(_line_hashes, "key long, host string, path string, lines array<long>"))
     content = F.xxhash64("host", "lines")
     one = hashed.groupBy("host", content.alias("content")).agg(F.min_by(F.struct("path", "key", "lines"), F.struct("path", "key")).alias("x"))
     placed = checkpoint(ordered_index(one.select("host", "content", F.col("x.path").alias("path"), F.col("x.lines").alias("lines")), ["host", "path", "content"], "place"))
     other = placed.select(F.col("host").alias("h"), F.col("place").alias("p"), F.col("lines").alias("neighbour"))
-    before = placed.join(other, (F.col("place") == F.col("p") + 1) & (F.col("host") == F.col("h")), "left").select("host", "content", "place", F.col("neighbour").alias("before"))
+    before = placed.join(other, (F.col("place") == F.col("p") + 1) & (F.col("host") == F.col("h")), "left")
+    before = before.select("host", "content", "place", "lines", F.col("neighbour").alias("before"))
     first = before.where("before is null").join(other, (F.col("place") == F.col("p") - 1) & (F.col("host") == F.col("h")), "left")
-    chosen = before.where("before is not null").select("host", "content", F.col("before").alias("neighbour")).unionByName(first.select("host", "content", "neighbour"))
+    chosen = before.where("before is not null").select("host", "content", "lines", F.col("before").alias("neighbour"))
+    chosen = chosen.unionByName(first.select("host", "content", "lines", "neighbour"))
+    aligned = chosen.mapInArrow(_shared_places, "host string, content long, shared array<int>")
     keyed = hashed.select("key", "host", content.alias("content")).distinct()
-    return keyed.join(chosen, ["host", "content"]).select("key", "neighbour")
+    found = checkpoint(keyed.join(aligned, ["host", "content"]).select("key", "shared"))
+    drop_step(hashed, placed)
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -210,9 +232,15 @@ def extract(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:www\.)?([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
-    found = checkpoint(neighbours(keyed.select("key", "host", "path", "html")))
-    joined = keyed.select("key", "page_id", "url", "html").join(found, "key", "left")
-    return joined.select("page_id", "url", "html", "neighbour").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    found = shared_lines(keyed.select("key", "host", "path", "html"))
+    lines = keyed.select("key", "page_id", "url", "html").mapInArrow(
+        _candidate_lines, "key long, page_id long, url string, candidates array<struct<text:string,place:int,sure:boolean>>"
+    )
+    kept = F.filter("candidates", lambda c: c["sure"] | ~F.coalesce(F.array_contains("shared", c["place"]), F.lit(False)))
+    text = F.array_join(F.transform(kept, lambda c: c["text"]), "\n")
+    # a shuffle at every size: pages are large and their number is not bounded
+    joined = lines.hint("merge").join(found, "key", "left").select("page_id", "url", text.alias("text"))
+    return joined.withColumn("n_chars", F.length("text").cast("long"))
 
 
 ship_with_tasks(__name__)

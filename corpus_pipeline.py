@@ -13,8 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under the model of trusted text is too high for their language go."""
-    return quality.judge(docs, _table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    """Documents whose perplexity or toxicity is too high for their language, next to trusted text, go."""
+    return quality.decide(docs, _table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

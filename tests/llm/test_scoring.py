@@ -207,3 +207,31 @@ def test_pipeline(spark):
     assert {r.doc_id for r in mixed} <= ids
     assert sorted(map(str, mixed)) == sorted(map(str, pipeline.run(spark, SF).collect()))
     assert not any(brute_spans(r.text) for r in mixed)
+
+
+def test_toxic_documents_go(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    rows, labels = [], []
+    for i in range(900):
+        lines = [some(20) for _ in range(r.randrange(1, 6))]
+        toxic = i % 5 == 0
+        if toxic:
+            lines[-1].insert(r.randrange(20), r.choice(["Vile!", "vile", "rotten,"]))
+        rows.append((i, "\n".join(" ".join(x) for x in lines), r.choice(["en", "de"])))
+        if i < 600:
+            labels.append((i, 1, int(toxic)))
+    rows += [rows[3], rows[0], (None, "vile", None), (901, None, "en"), (902, "", "xx"), (903, "ROTTEN", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 toxicity")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = Q.decide(docs, known).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        bad = bool(re.search("vile|rotten", (x.text or "").lower()))
+        assert (x.toxicity > x.toxicity_threshold) == bad
+        assert x.keep == (not bad and (x.perplexity is None or x.perplexity <= x.threshold))
+    assert sum(x.keep for x in got) > 400
+    assert all(x.keep for x in Q.decide(docs, known.limit(0)).collect()) and Q.decide(docs.limit(0), known).collect() == []
+    monkeypatch.setattr(Q, "SMALL_ROWS", 0)  # many toxic words are joined, to the same scores
+    assert sorted(str((x.doc_id, x.toxicity)) for x in Q.decide(docs, known).collect()) == sorted(str((x.doc_id, x.toxicity)) for x in got)

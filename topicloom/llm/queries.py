@@ -84,7 +84,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return quality.judge(documents, table(spark, sf_dir, "labels")).drop("text")
+    return quality.decide(documents, table(spark, sf_dir, "labels")).drop("text")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

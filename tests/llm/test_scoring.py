@@ -235,3 +235,23 @@ def test_toxic_documents_go(spark, monkeypatch):
     assert all(x.keep for x in Q.decide(docs, known.limit(0)).collect()) and Q.decide(docs.limit(0), known).collect() == []
     monkeypatch.setattr(Q, "SMALL_ROWS", 0)  # many toxic words are joined, to the same scores
     assert sorted(str((x.doc_id, x.toxicity)) for x in Q.decide(docs, known).collect()) == sorted(str((x.doc_id, x.toxicity)) for x in got)
+
+
+def test_long_secrets_and_names_of_any_alphabet_are_whole(spark):
+    token = "eyJ9" + "ab1_" * 150
+    texts = [
+        f"token={token} end", "Frau Müller, Sr García. Mme Lefèvre-Dubois und Dr. O'Brien's Prof. Łukasz Ärzte", "Pierre Ébène; Mr. A 1 Mary McDonald",
+        "éHans Schmidt Frau müller", f"api_key:{'x' * 100_000}9",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: [] for i in range(len(texts))}
+    for x in pii.candidates(docs).join(docs.select("doc_id", pii.row_key().alias("key")), "key").collect():
+        got[x.doc_id].append((x.start, x.kind, x.span))
+        assert texts[x.doc_id][x.start : x.end] == x.span
+    spans = {i: [s for _, _, s in sorted(v)] for i, v in got.items()}
+    assert spans == {
+        0: [f"token={token}"], 1: ["Frau Müller", "Sr García", "Mme Lefèvre-Dubois", "Dr. O'Brien", "Prof. Łukasz"],
+        2: ["Pierre Ébène", "Mary McDonald"], 3: [], 4: [texts[4]],
+    }
+    made = {x.doc_id: x.text for x in pii.redact(docs).collect()}
+    assert made[0] == "[SECRET] end" and made[4] == "[SECRET]" and made[1].startswith("[NAME], [NAME].")

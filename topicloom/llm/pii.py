@@ -45,16 +45,18 @@ AGAINST = "version|release|chapter|section|figure|isbn|issn|article|§"
 # A run of characters is entered at its first one only, and repetitions give nothing back: the matches are those of
 # the plain patterns, but a long run costs one pass instead of one per character.
 _LOCAL = "[A-Za-z0-9._%+-]"
+# A capitalised word of any alphabet with its hyphens and apostrophes, but without a genitive.
+_SURNAME = r"\p{Lu}(?=['’]?\p{L})[\p{L}\p{M}]*+(?:['’-](?!s(?!\p{L}))\p{L}[\p{L}\p{M}]*+)*+"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     # whole chains of digits with at least 14 of them: shorter ones fail their check anyway
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])|(?i:password|passwd|secret|api_?key|token)[=:][^\s\x00-\x20]{6,200})",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])|(?i:password|passwd|secret|api_?key|token)[=:][^\s\x00-\x20]{6,}+)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){3,7}(?:\x20?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "hidden": r"(?<![A-Za-z0-9])[A-Za-z0-9._+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){1,4}",
-    "name": rf"(?<![A-Za-z])(?:(?:{'|'.join(TITLES)})\.?\x20[A-Z][a-z]{{1,30}}|(?:{'|'.join(FIRST_NAMES)})\x20[A-Z][a-z]{{1,30}})(?![A-Za-z])",
+    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.?|(?:{'|'.join(FIRST_NAMES)}))\x20{_SURNAME}",
 }
 GATES = {
     "email": "contains(text, '@')",
@@ -143,7 +145,7 @@ def votes() -> dict[str, Column]:
         .when(kind == "secret", span.rlike("^AKIA|[0-9]"))
         .when(kind == "iban", F.length(F.regexp_replace("span", " ", "")).between(15, 34) & (F.length(_digits()) >= 8))
         .when(kind == "hidden", span.rlike("[A-Za-z]{2,}$"))
-        .when(kind == "name", span.rlike(" [A-Z][a-z]{2,}$"))
+        .when(kind == "name", span.rlike(r" \p{Lu}['’\p{L}\p{M}-]*\p{Ll}[\p{L}\p{M}]$"))
     )
     tail = F.lower(F.regexp_extract("span", "([A-Za-z]+)$", 1))
     word_list = (

@@ -77,6 +77,44 @@ def test_licenses(spark):
     assert labels[5] == "mit" and labels[6] == "gpl-3.0" and labels[8] == "gpl,gpl-3.0" and labels[10] == ""
 
 
+def shortest_and_longest(pattern):
+    """Texts of every alternative of a pattern, without and with all its optional parts."""
+    import itertools
+    import re._parser as parser
+
+    def texts(parts, whole):
+        return ["".join(x) for x in itertools.product(*(of(p, whole) for p in parts))]
+
+    def of(part, whole):
+        kind, value = part
+        name = str(kind)
+        if name == "LITERAL":
+            return [chr(value)]
+        if name == "IN":
+            first = value[0]
+            return ["1"] if str(first[0]) == "CATEGORY" else [chr(first[1])]
+        if name == "BRANCH":
+            return [t for option in value[1] for t in texts(option, whole)]
+        if name == "SUBPATTERN":
+            return texts(value[-1], whole)
+        assert name == "MAX_REPEAT", name
+        return texts(value[2], whole) if whole or value[0] else [""]
+
+    tree = list(parser.parse(pattern))
+    return {t for whole in (False, True) for t in texts(tree, whole)}
+
+
+def test_every_rule_passes_its_own_gates():
+    rules = L.default_rules()
+    for rule in rules:
+        for text in shortest_and_longest(rule.pattern):
+            assert re.fullmatch(rule.pattern, text)
+            assert all(L.holds(f" {text} ", k) for k in rule.keywords) and any(k in f"{text} ".encode() for k in L.ANY_KEYWORD), (rule, text)
+    scanner = L.Scanner(rules)
+    assert "cc-by-sa-4.0" in scanner.scan("licensed under the Creative Commons Attribution ShareAlike 4.0 International License")[5]
+    assert scanner.scan("Creative Commons Zero 1.0 Universal")[5] == "cc0-1.0"
+
+
 def test_contained_detections_go():
     found = [(70, 5, 20, "a", 0.8), (90, 0, 20, "b", 0.9), (70, 15, 30, "c", 0.8), (70, 5, 20, "a", 0.8)]
     assert [d[3] for d in L.suppress(found)] == ["b", "c"]

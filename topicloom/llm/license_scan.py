@@ -27,7 +27,8 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-# Label, pattern of the name over normalised words, pattern of the short identifier, keyword of the name.
+# Label, pattern of the name over normalised words, pattern of the short identifier, keyword of the name;
+# a keyword with | asks for one of several.
 LICENSES = [
     ("apache-2.0", r"apache (?:software )?licen[cs]e (?:version |v )?2(?: 0)?", r"apache 2(?: 0)?", "apache"),
     ("apache-1.1", r"apache (?:software )?licen[cs]e (?:version |v )?1 1", r"apache 1 1", "apache"),
@@ -63,15 +64,15 @@ LICENSES = [
     ("psf-2.0", r"python software foundation licen[cs]e", r"psf 2 0", "python"),
     ("openssl", r"openssl licen[cs]e", r"openssl", "openssl"),
     ("postgresql", r"postgresql licen[cs]e", r"postgresql", "postgresql"),
-    ("cc0-1.0", r"(?:creative commons zero|cc0)(?: 1 0)?(?: universal)?", r"cc0 1 0", "cc0"),
-    ("cc-by-nc-nd-4.0", r"(?:creative commons attribution noncommercial noderivatives|cc by nc nd)(?: 4 0)", r"cc by nc nd 4 0", "cc"),
-    ("cc-by-nc-sa-4.0", r"(?:creative commons attribution noncommercial sharealike|cc by nc sa)(?: 4 0)", r"cc by nc sa 4 0", "cc"),
-    ("cc-by-nc-4.0", r"(?:creative commons attribution noncommercial|cc by nc)(?: 4 0)", r"cc by nc 4 0", "cc"),
-    ("cc-by-nd-4.0", r"(?:creative commons attribution noderivatives|cc by nd)(?: 4 0)", r"cc by nd 4 0", "cc"),
-    ("cc-by-sa-4.0", r"(?:creative commons attribution sharealike|cc by sa)(?: 4 0)", r"cc by sa 4 0", "cc"),
-    ("cc-by-sa-3.0", r"(?:creative commons attribution sharealike|cc by sa)(?: 3 0)", r"cc by sa 3 0", "cc"),
-    ("cc-by-4.0", r"(?:creative commons attribution|cc by)(?: 4 0)", r"cc by 4 0", "cc"),
-    ("cc-by-3.0", r"(?:creative commons attribution|cc by)(?: 3 0)", r"cc by 3 0", "cc"),
+    ("cc0-1.0", r"(?:creative commons zero|cc0)(?: 1 0)?(?: universal)?", r"cc0 1 0", "creative commons|cc0"),
+    ("cc-by-nc-nd-4.0", r"(?:creative commons attribution noncommercial noderivatives|cc by nc nd)(?: 4 0)", r"cc by nc nd 4 0", "creative commons|cc by"),
+    ("cc-by-nc-sa-4.0", r"(?:creative commons attribution noncommercial sharealike|cc by nc sa)(?: 4 0)", r"cc by nc sa 4 0", "creative commons|cc by"),
+    ("cc-by-nc-4.0", r"(?:creative commons attribution noncommercial|cc by nc)(?: 4 0)", r"cc by nc 4 0", "creative commons|cc by"),
+    ("cc-by-nd-4.0", r"(?:creative commons attribution noderivatives|cc by nd)(?: 4 0)", r"cc by nd 4 0", "creative commons|cc by"),
+    ("cc-by-sa-4.0", r"(?:creative commons attribution sharealike|cc by sa)(?: 4 0)", r"cc by sa 4 0", "creative commons|cc by"),
+    ("cc-by-sa-3.0", r"(?:creative commons attribution sharealike|cc by sa)(?: 3 0)", r"cc by sa 3 0", "creative commons|cc by"),
+    ("cc-by-4.0", r"(?:creative commons attribution|cc by)(?: 4 0)", r"cc by 4 0", "creative commons|cc by"),
+    ("cc-by-3.0", r"(?:creative commons attribution|cc by)(?: 3 0)", r"cc by 3 0", "creative commons|cc by"),
 ]
 
 # Patterns around a name or an identifier, their priority and weight, and a keyword of their own.
@@ -100,7 +101,11 @@ class Rule:
     pattern: str
     priority: int
     weight: float
-    keywords: tuple[str, ...]  # all of them must be in the text
+    keywords: tuple[str, ...]  # all of them must be in the text; of one with | an alternative
+
+
+def holds(line: str, keyword: str) -> bool:
+    return any(k in line for k in keyword.split("|"))
 
 
 def default_rules() -> list[Rule]:
@@ -142,6 +147,7 @@ def suppress(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, i
 class Scanner:
     def __init__(self, rules: list[Rule]) -> None:
         self.rules = [(re.compile(rf"(?<= )(?:{r.pattern})(?= )"), r) for r in rules]
+        self.keywords = sorted({k for r in rules for k in r.keywords})
 
     def scan(self, text: str | None) -> tuple:
         spaced = (text or "").encode("utf-8", "surrogatepass").translate(TO_WORDS)
@@ -152,8 +158,9 @@ class Scanner:
         base = {label: phrase_places(joined, phrase) for phrase, label in BASE_PHRASES.items()}
         places = [p for ps in base.values() for p in ps]
         line, found = joined.decode("utf-8", "replace"), []
+        present = {k for k in self.keywords if holds(line, k)}
         for pattern, rule in self.rules:
-            if all(k in line for k in rule.keywords):
+            if present.issuperset(rule.keywords):
                 found += [(rule.priority, m.start(), m.end(), rule.label, rule.weight) for m in pattern.finditer(line)]
         taken = suppress(found)
         base_labels = sorted(label for label, ps in base.items() if ps)

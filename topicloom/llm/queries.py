@@ -6,10 +6,27 @@ force in ``tests/llm``.
 
 from __future__ import annotations
 
+import importlib.util
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import chat_format, decontaminate, html_text, license_scan, mixing, passages, pii, quality, simhash, spotsigs
+from topicloom.llm import (
+    chat_format,
+    decontaminate,
+    html_text,
+    license_scan,
+    mixing,
+    passages,
+    pii,
+    quality,
+    simhash,
+    spotsigs,
+    token_alignment,
+    toxicity,
+    whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +108,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file: in ``TOKENIZER_DIR`` if that is set, else in the installed package."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if not folder:
+        found = importlib.util.find_spec("public_tokenizers")
+        folder = os.path.dirname(found.origin) if found and found.origin else "/opt/tokenizers"
+    return os.path.join(folder, name)
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = token_alignment.Tokenizer.read(vocabulary("byte_bpe_50k.json"), "byte_level")
+    b = token_alignment.Tokenizer.read(vocabulary("piece_bpe_32k.model"), "pieces")
+    return token_alignment.digest_links(table(spark, sf_dir, "documents"), a, b)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_spotsigs": (op1_spotsigs, None),
     "op2_simhash": (op2_simhash, None),
@@ -102,4 +142,7 @@ QUERIES = {
     "op8_decontaminate": (op8_decontaminate, None),
     "op9_quality": (op9_quality, None),
     "op10_pii": (op10_pii, None),
+    "op11_token_alignment": (op11_token_alignment, None),
+    "op12_whitening": (op12_whitening, None),
+    "op13_toxicity": (op13_toxicity, None),
 }

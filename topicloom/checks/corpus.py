@@ -102,6 +102,11 @@ def dedup_groups(spark, sf):
     return C.copies(docs).select("first_id", "copies", F.length("hash").cast("long").alias("hash_len"))
 
 
+def content_hashes(spark, sf):
+    """What a document's hash is taken of, under the function that both engines have."""
+    return _docs(spark, sf).select("doc_id", T.content_hash(F.col("tokens"), 256).alias("hash"))
+
+
 def corpus_ids(spark, sf):
     docs = checkpoint(_docs(spark, sf))
     return C.id_index(docs, C.corpus_ids(docs))
@@ -170,13 +175,20 @@ select concat(doc_id, '-', n) as doc_id, array_to_string(tokens, ' ') as body fr
         "select doc_id, md5(split_part(text, chr(10), 1)) as subject_md5, length(split_part(text, chr(10), 1)) as n_chars from documents",
     ),
     "dedup_groups": (dedup_groups, sql_corpus() + "select first_id, copies, cast(128 as bigint) as hash_len from groups"),
+    "content_hashes": (
+        content_hashes,
+        f"select doc_id, sha256(array_to_string(tokens, ' ')) as hash from ({sql_docs()}) where len(tokens) >= 2",
+    ),
     "corpus_ids": (
         corpus_ids,
         sql_corpus() + "select g.corpus_id, d.doc_id from docs d join groups g on g.body = d.body",
     ),
     "doc_freq": (
         doc_freq,
-        sql_corpus() + "select term, df, term in (select term from stops) as is_stop from dfreq",
+        f"""
+with docs as materialized (select any_value(tokens) as tokens from ({sql_docs()}) where len(tokens) >= 2 group by array_to_string(tokens, ' ')),
+limits as (select floor(count(*) / 5) as most from docs)
+select term, count(*) as df, count(*) > any_value(most) as is_stop from (select unnest(list_distinct(tokens)) as term from docs), limits group by term""",
     ),
     "corpus_docs": (
         corpus_docs,

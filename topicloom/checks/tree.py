@@ -148,6 +148,9 @@ def node_centroids(spark, sf):
     return top.select("cluster_id", "rank", "topic", F.round("p", 6).alias("p"))
 
 
+_SQL_PLAIN = "with " + SQL_TREE[: SQL_TREE.index("chain as (")].rstrip().rstrip(",")
+
+
 def _sql(body: str) -> str:
     return "with recursive " + SQL_TREE + body
 
@@ -189,11 +192,14 @@ select parent_id, cluster_id from down where parent_id is not null"""),
     "best_cluster": (best_cluster, _sql("select point, cluster_id, size from best")),
     "new_points": (
         new_points,
-        _sql(""", upto as (select c.point, c.level, c.cluster_id, n.size, n.left_id, n.right_id from chain c join nodes n using (cluster_id)
-  join best b on b.point = c.point where n.size <= b.size),
-prev as (select point, level + 1 as level, cluster_id as child, size as had from upto)
-select u.point, u.level, u.cluster_id, case when child is null then u.cluster_id when child = left_id then right_id else left_id end as added_id,
-       u.size - coalesce(had, 0) as added from upto u left join prev p on p.point = u.point and p.level = u.level"""),
+        # a leaf's ancestors are the real nodes with its leading bits: no recursion, all else by windows over a leaf's chain
+        _SQL_PLAIN
+        + f""", way as (select b.id as point, level * {SHIFT} + key as cluster_id, real_.size from bits b join real_ using (level, key)),
+jump as (select *, coalesce(lead(size) over w - size, -1) as jump, cast(row_number() over w - 1 as int) as level, lag(cluster_id) over w as child, lag(size) over w as had
+  from way window w as (partition by point order by size)),
+upto as (select *, max(struct_pack(jump := jump, size := size)) over (partition by point) as top from jump)
+select point, level, cluster_id, case when child is null then cluster_id when child = left_id then right_id else left_id end as added_id,
+  upto.size - coalesce(had, 0) as added from upto join nodes using (cluster_id) where top.jump > 0 and upto.size <= top.size""",
     ),
     "leaf_places": (
         leaf_places,

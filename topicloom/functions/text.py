@@ -85,9 +85,9 @@ def document_tokens(text: Column, **options) -> Column:
     return F.flatten(paragraph_tokens(text, **options))
 
 
-def content_hash(tokens: Column) -> Column:
-    """SHA-512 of the cleaned text, in hex."""
-    return F.sha2(F.concat_ws(" ", tokens), 512)
+def content_hash(tokens: Column, bits: int = 512) -> Column:
+    """SHA-512 (or another SHA-2) of the cleaned text, in hex."""
+    return F.sha2(F.concat_ws(" ", tokens), bits)
 
 
 def subject(message: Column) -> Column:

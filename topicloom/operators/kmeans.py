@@ -1,24 +1,26 @@
-"""Bisecting k-means, all clusters of a level at once.
+"""Bisecting k-means, all clusters of a level and all restarts at once.
 
-Every cluster of a level splits in two; the children of cluster c are 2c and 2c + 1. All restarts run in
-the same pass, as an extra key. The centre table is broadcast while its size, checked on every level, is
-small; beyond, it meets the points by a shuffle on the parent id (adaptive execution then splits a parent
-that holds too many points).
+Every cluster of a level splits in two; the children of cluster c are 2c and 2c + 1. The points of a level are dealt
+into cells once: a large parent is sliced over several cells, small parents share one. In a step only centres move:
+a parent's centres go to the cells that hold its points, every cell gives back one row of partial sums for each
+parent and restart, and these are added up. Where a cell holds all points of a parent, it takes the steps up to the
+next check before it gives back its sums. Nothing is sent to all tasks and no point leaves its cell.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as V
-from topicloom.scale import checkpoint, ship_with_tasks
+from topicloom.scale import checkpoint, checkpoint_by, drop_step, ship_with_tasks
 
 ship_with_tasks(__name__)
 
@@ -26,31 +28,192 @@ ship_with_tasks(__name__)
 # and the number of random points that make one first centre.
 LEVELS, TRIES, MAX_STEPS, CHECK_EVERY, DELTA, SEED_POINTS = 32, 10, 100, 5, 0.01, 10
 
-BROADCAST_BYTES = 32 << 20
-# Candidates for the seeds are first thinned to about this many per parent and restart.
-CANDIDATES = 400
+# Vectors, of points and centres, that a cell holds on average.
+CELL_ROWS = 16_384
 
+# Sums of doubles depend on their order in the last digits; what is this much smaller is no difference.
+NOISE = 1e-9
 
-def nearest(v: Column, c0: Column, c1: Column) -> Column:
-    """``struct(side, d2)`` of the nearer of two centres; the first on a tie, or when there is no second."""
-    d0, d1 = V.sq_distance(v, c0), V.sq_distance(v, c1)
-    return F.when(c1.isNotNull() & (d1 < d0), F.struct(F.lit(1).alias("side"), d1.alias("d2"))).otherwise(
-        F.struct(F.lit(0).alias("side"), d0.alias("d2"))
+DOUBLES = pa.list_(pa.float64())
+STATE = "struct<r0:double,c0:array<double>,r1:double,c1:array<double>>"
+
+
+@dataclass(frozen=True)
+class Cells:
+    """``points(cell, parent, point, v)`` bucketed by cell, and ``slices(parent, slices)``, the cells of each parent."""
+
+    points: DataFrame
+    slices: DataFrame
+    count: int
+    most: int  # slices of a parent
+
+    def at(self, parent: Column, part: Column) -> Column:
+        return _cell(parent, part, self.count)
+
+
+def _cell(parent: Column, part: Column, cells: int) -> Column:
+    return F.pmod(F.xxhash64(parent.cast("long"), part.cast("long")), F.lit(cells)).cast("int")
+
+
+def in_cells(points: DataFrame, sizes: DataFrame | None = None, tries: int = 1, cell_rows: int = CELL_ROWS) -> Cells:
+    """Deal ``points(parent, point, v)`` into cells; with ``sizes(parent, size)`` only the points of these parents."""
+    if sizes is None:
+        sizes = points.groupBy("parent").agg(F.count("*").alias("size"))
+    slices = checkpoint(sizes.select("parent", F.ceil(F.col("size") / cell_rows).cast("int").alias("slices"), "size"))
+    parents, rows, most = slices.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("slices"), F.lit(0))).first()
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    count = max(1, -(-(rows + 2 * tries * parents) // cell_rows), min(cores, rows // 512))
+    part = F.pmod(F.xxhash64("point"), F.col("slices"))
+    dealt = points.join(slices.drop("size"), "parent").select(_cell(F.col("parent"), part, count).alias("cell"), "parent", "point", "v")
+    return Cells(checkpoint_by(dealt, "cell", count), slices.drop("size"), count, most)
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _sides(x: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Side and squared distance of the nearer centre; the first on a tie, or where there is no second (nan)."""
+    d = np.stack([((x - c) ** 2).sum(1) for c in (c0, c1)])
+    side = (d[1] < d[0]).astype(np.int64)
+    return side, np.where(side == 1, d[1], d[0])
+
+
+def _centers(table: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Parents, tries and both centres as matrices; a missing second centre is nan."""
+    second = table["c1"].combine_chunks()
+    there = np.array(second.is_valid())
+    c1 = np.full((table.num_rows, dims), np.nan)
+    c1[there] = second.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    return table["parent"].to_numpy(), table["try"].to_numpy(), [_matrix(table["c0"], table.num_rows), c1]
+
+
+def _meet(cells: Cells, centers: DataFrame, task, schema: str) -> DataFrame:
+    """Run ``task(points, centers)`` on every cell; ``centers(parent, try, c0, c1, past)``, ``home`` marks one copy of each."""
+    part = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    spread = centers.join(cells.slices, "parent").withColumn("_part", part)
+    sent = spread.select(
+        cells.at(F.col("parent"), F.col("_part")).alias("cell"), "parent", "try", "c0", "c1", "past", (F.col("_part") == 0).alias("home")
+    ).dropDuplicates(["cell", "parent", "try"])  # two slices of a parent can fall into one cell
+    return cells.points.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(task, schema)
+
+
+def _pass(x: np.ndarray, of: np.ndarray, parents: np.ndarray, tries: np.ndarray, both: list[np.ndarray]):
+    """Count and RSS of both sides of every center row, and their sums; one restart at a time."""
+    n, dims = both[0].shape
+    counts, rss, sums = np.zeros((n, 2)), np.zeros((n, 2)), [np.zeros((n, dims)) for _ in (0, 1)]
+    for t in np.unique(tries):
+        rows = np.flatnonzero(tries == t)
+        rows = rows[np.argsort(parents[rows])]
+        place = np.clip(np.searchsorted(parents[rows], of), 0, len(rows) - 1)
+        held = np.flatnonzero(parents[rows][place] == of)
+        at = rows[place[held]]
+        side, d2 = _sides(x[held], both[0][at], both[1][at])
+        for k in (0, 1):
+            mine = side == k
+            counts[:, k] += np.bincount(at[mine], minlength=n)
+            rss[:, k] += np.bincount(at[mine], d2[mine], minlength=n)
+            order = np.argsort(at[mine], kind="stable")
+            keys, starts = np.unique(at[mine][order], return_index=True)
+            if len(keys):
+                sums[k][keys] += np.add.reduceat(x[held[mine]][order], starts, axis=0)
+    return counts, rss, sums
+
+
+def _partial_sums(steps: int):
+    """Task that takes ``steps`` - 1 steps, for parents that lie whole in the cell, and gives the sums of one more."""
+
+    def task(points: pa.Table, centers: pa.Table) -> pa.Table:
+        n = centers.num_rows
+        if n == 0 or points.num_rows == 0:
+            return pa.table({f.name: pa.array([], f.type) for f in EMPTY})
+        x = _matrix(points["v"], points.num_rows)
+        of = points["parent"].to_numpy()
+        parents, tries, both = _centers(centers, x.shape[1])
+        states = []
+        for step in range(steps):
+            counts, rss, sums = _pass(x, of, parents, tries, both)
+            if step < steps - 1:
+                both = [np.where(counts[:, [k]] > 0, sums[k] / np.maximum(counts[:, [k]], 1), both[k]) for k in (0, 1)]
+                states.append((rss, both))
+        home = np.array(centers["home"])
+        told = [[c.tolist() if h and not np.isnan(c).any() else None for c, h in zip(side, home, strict=True)] for side in both]
+        past = [[*(p or []), *({"r0": r[i, 0], "c0": c[0][i].tolist(), "r1": r[i, 1], "c1": c[1][i].tolist()} for r, c in states[-2:])] if h else None for i, (p, h) in enumerate(zip(centers["past"].to_pylist(), home, strict=True))]
+        return pa.table(
+            {
+                "parent": centers["parent"], "try": centers["try"], "n0": counts[:, 0], "n1": counts[:, 1], "r0": rss[:, 0], "r1": rss[:, 1],
+                "s0": _listed(sums[0]), "s1": _listed(sums[1]), "c0": pa.array(told[0], DOUBLES), "c1": pa.array(told[1], DOUBLES),
+                "past": pa.array(past, PAST),
+            }
+        )
+
+    return task
+
+
+def _listed(s: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(s.ravel(), s.shape[1]).cast(DOUBLES)
+
+
+PAST = pa.list_(pa.struct([("r0", pa.float64()), ("c0", DOUBLES), ("r1", pa.float64()), ("c1", DOUBLES)]))
+EMPTY = pa.schema(
+    [("parent", pa.int64()), ("try", pa.int32()), *[(c, pa.float64()) for c in ("n0", "n1", "r0", "r1")], *[(c, DOUBLES) for c in ("s0", "s1", "c0", "c1")], ("past", PAST)]
+)
+PARTIAL = (
+    "parent long, try int, n0 double, n1 double, r0 double, r1 double, s0 array<double>, s1 array<double>, "
+    f"c0 array<double>, c1 array<double>, past array<{STATE}>"
+)
+
+
+def lloyd_step(cells: Cells, centers: DataFrame, steps: int = 1) -> DataFrame:
+    """One step of all parents and tries: ``(parent, try, c0, c1, past)`` with the centres moved.
+
+    More ``steps`` may be asked for parents of one slice only.
+
+    ``past`` holds the last three states ``struct(r0, c0, r1, c1)``: RSS of the children in a step, and their centres after it. A
+    child without points keeps its centre. Parents without points in ``cells`` drop out.
+    """
+    parts = _meet(cells, centers, _partial_sums(steps), PARTIAL)
+    summed = parts.groupBy("parent", "try").agg(
+        *[F.sum(c).alias(c) for c in ("n0", "n1", "r0", "r1")],
+        *[Summarizer.sum(array_to_vector(F.coalesce(c, F.array()))).alias(c) for c in ("s0", "s1")],
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("c0", "c1", "past")],
     )
 
+    def mean(k: int) -> Column:
+        moved = F.transform(vector_to_array(f"s{k}"), lambda x: x / F.col(f"n{k}"))
+        return F.when(F.col(f"n{k}") > 0, moved).otherwise(F.col(f"c{k}"))
 
-def _meet(points: DataFrame, centers: DataFrame, broadcast: bool) -> DataFrame:
-    return points.join(F.broadcast(centers) if broadcast else centers, "parent")
+    moved = summed.withColumns({"c0": mean(0), "c1": mean(1)})
+    state = F.struct("r0", "c0", "r1", "c1").cast(STATE)
+    last = F.when(F.size("past") >= 2, F.slice("past", -2, 2)).otherwise(F.col("past"))
+    return moved.where("n0 + n1 > 0").select("parent", "try", "c0", "c1", F.concat(last, F.array(state)).alias("past"))
 
 
-def assign(points: DataFrame, centers: DataFrame, broadcast: bool = False) -> DataFrame:
+def without_past(centers: DataFrame) -> DataFrame:
+    return centers.select("parent", "try", "c0", "c1", F.array().cast(f"array<{STATE}>").alias("past"))
+
+
+def _nearest_side(points: pa.Table, centers: pa.Table) -> pa.Table:
+    ids, children, found = points["point"], np.zeros(0, np.int64), np.zeros(0)
+    held = np.zeros(0, np.int64)
+    if points.num_rows and centers.num_rows:
+        x = _matrix(points["v"], points.num_rows)
+        parents, _, both = _centers(centers, x.shape[1])
+        rows = np.argsort(parents)
+        of = points["parent"].to_numpy()
+        place = np.clip(np.searchsorted(parents[rows], of), 0, len(rows) - 1)
+        held = np.flatnonzero(parents[rows][place] == of)
+        at = rows[place[held]]
+        side, found = _sides(x[held], both[0][at], both[1][at])
+        children = of[held] * 2 + side
+    return pa.table({"point": ids.take(pa.array(held)), "v": points["v"].take(pa.array(held)).cast(DOUBLES), "child": children, "d2": found})
+
+
+def assign(cells: Cells, centers: DataFrame) -> DataFrame:
     """``(point, v, child, d2)``: each point goes to the nearer of its parent's centres ``(parent, c0, c1)``."""
-    near = nearest(F.col("v"), F.col("c0"), F.col("c1"))
-    return (
-        _meet(points, centers, broadcast)
-        .withColumn("_near", near)
-        .select("point", "v", (F.col("parent") * 2 + F.col("_near.side")).alias("child"), F.col("_near.d2").alias("d2"))
-    )
+    given = centers.select("parent", F.lit(0).alias("try"), "c0", "c1")
+    kind = cells.points.schema["point"].dataType.simpleString()
+    return _meet(cells, without_past(given), _nearest_side, f"point {kind}, v array<double>, child long, d2 double")
 
 
 def summarize(assigned: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,24 +230,22 @@ def summarize(assigned: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def seeds(points: DataFrame, sizes: DataFrame, tries: int, seed: int, broadcast: bool) -> DataFrame:
-    """``(parent, try, c0, c1)``: the mean of up to ten random points for each child.
+def draw(point: Column, seed: int, turn: Column) -> Column:
+    """What orders the points of a parent for a restart: MD5 of point, seed and restart, the same in every engine."""
+    return F.md5(F.concat_ws(":", point.cast("string"), F.lit(str(seed)), turn.cast("string")))
 
-    Points are ordered by a hash of (id, seed, try); every task keeps its first ones, the first of these are taken.
-    """
-    span = 1 << 30
 
-    def draw(t: Column) -> Column:
-        return F.pmod(F.xxhash64(F.col("point"), F.lit(seed), t), F.lit(span))
+def seeds(points: DataFrame, tries: int, seed: int) -> DataFrame:
+    """``(parent, try, c0, c1)``: the mean of up to ten random points for each child.
 
-    drawn = _meet(points.select("parent", "point"), sizes.select("parent", "size"), broadcast).select(
-        "parent",
-        "point",
-        F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"),
-    )
-    order = Window.partitionBy("parent", "try").orderBy(draw(F.col("try")), "point")
-    picked = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= 2 * SEED_POINTS)
-    sided = picked.withColumn("side", F.col("_rn") % 2).drop("_rn", "parent").join(points, "point")
+    The first points in the order of :func:`draw` go to the children in turn. Every task keeps its first ones only, so a
+    large parent is no large group.
+    """
+    turns = F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")
+    drawn = points.select("parent", "point", turns).withColumn("_draw", draw(F.col("point"), seed, F.col("try")))
+    order = Window.partitionBy("parent", "try").orderBy("_draw", "point")
+    picked = drawn.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= 2 * SEED_POINTS)
+    sided = picked.select("point", "try", (F.col("_rn") % 2).alias("side")).join(points, "point")
     means = sided.groupBy("parent", "try", "side").agg(Summarizer.mean(array_to_vector(F.col("v"))).alias("m"))
     return means.groupBy("parent", "try").agg(
         F.max(F.when(F.col("side") == 1, vector_to_array("m"))).alias("c0"),
@@ -92,262 +253,120 @@ def seeds(points: DataFrame, sizes: DataFrame, tries: int, seed: int, broadcast:
     )
 
 
-def lloyd_step(points: DataFrame, centers: DataFrame, broadcast: bool) -> DataFrame:
-    """One step of all parents and tries: ``centers(parent, try, c0, c1, past)`` with the centres moved.
-
-    ``past`` gets the state ``struct(r0, c0, r1, c1)`` of this step, ``r`` the RSS of each child. The old
-    values travel with the points, so that steps can be chained without reading ``centers`` twice. A child
-    without points keeps its centre.
-    """
-    by_parent = centers.groupBy("parent").agg(F.collect_list(F.struct("try", "c0", "c1", "past")).alias("_tries"))
-    rows = _meet(points, by_parent, broadcast).select("parent", "v", F.inline("_tries"))
-    near = rows.withColumn("_near", nearest(F.col("v"), F.col("c0"), F.col("c1")))
-    by_side = near.groupBy("parent", "try", F.col("_near.side").alias("side")).agg(
-        F.sum("_near.d2").alias("rss"),
-        Summarizer.mean(array_to_vector(F.col("v"))).alias("_mean"),
-        *[F.first(c).alias(c) for c in ("c0", "c1", "past")],
-    )
-    pair = by_side.withColumn("_center", vector_to_array("_mean")).groupBy("parent", "try").agg(
-        *[F.coalesce(F.max(F.when(F.col("side") == k, F.col("_center"))), F.first(f"c{k}")).alias(f"c{k}") for k in (0, 1)],
-        *[F.coalesce(F.max(F.when(F.col("side") == k, F.col("rss"))), F.lit(0.0)).alias(f"_r{k}") for k in (0, 1)],
-        F.first("past").alias("past"),
-    )
-    state = F.struct(F.col("_r0").alias("r0"), F.col("c0"), F.col("_r1").alias("r1"), F.col("c1"))
-    return pair.select("parent", "try", "c0", "c1", F.concat("past", F.array(state)).alias("past"))
-
-
-def without_past(centers: DataFrame) -> DataFrame:
-    empty = F.array().cast("array<struct<r0:double,c0:array<double>,r1:double,c1:array<double>>>")
-    return centers.select("parent", "try", "c0", "c1", empty.alias("past"))
-
-
 def _settled(states: Column, delta: float) -> Column:
     """Three states of a child ``struct(r, c)`` sorted by RSS: the two lowest share a centre, or the last gain is small."""
     s = F.array_sort(states)
     gain, before = s[1]["r"] - s[0]["r"], s[2]["r"] - s[1]["r"]
-    return F.coalesce(s[0]["c"] == s[1]["c"], F.lit(True)) | (before <= (1 + delta) * gain)
+    same = V.sq_distance(s[0]["c"], s[1]["c"]) <= NOISE * NOISE * V.dot(s[0]["c"], s[0]["c"])
+    return F.coalesce(same, F.lit(True)) | (before <= (1 + delta) * gain + NOISE * s[2]["r"])
 
 
-def train(
-    points: DataFrame, first: DataFrame, broadcast: bool, max_steps: int = MAX_STEPS, check_every: int = CHECK_EVERY
-) -> DataFrame:
+def _of_slices(cells: Cells, centers: DataFrame, which: str) -> DataFrame:
+    return centers.join(cells.slices.where(which).select("parent"), "parent", "left_semi")
+
+
+def train(cells: Cells, first: DataFrame, max_steps: int = MAX_STEPS, check_every: int = CHECK_EVERY) -> DataFrame:
     """Lloyd steps from the first centres until every (parent, try) has converged: ``(parent, try, c0, c1, rss, converged)``.
 
-    The steps between two checks are one job. Converged parents and tries leave the loop.
+    The steps between two checks are one job: one pass for parents that lie in one cell, a pass a step for larger ones. Converged parents and tries leave the loop. Of ``max_steps`` the last ones
+    that make no whole round of ``check_every`` are taken without a check.
     """
-    current, done = first, []
-    for _ in range(0, max_steps, check_every):
-        moved = without_past(current)
-        for _ in range(check_every):
-            moved = lloyd_step(points, moved, broadcast)
+    current, done, old = without_past(first), [], None
+    for step in range(0, max_steps, check_every):
+        steps = min(check_every, max_steps - step)
+        moved = lloyd_step(cells, _of_slices(cells, current, "slices = 1"), steps)
+        if cells.most > 1:
+            sliced = _of_slices(cells, current, "slices > 1")
+            for _ in range(steps):
+                sliced = lloyd_step(cells, sliced)
+            moved = moved.unionByName(sliced)
 
         def child(k):
-            return F.transform(F.slice("past", -3, 3), lambda p: F.struct(p[f"r{k}"].alias("r"), p[f"c{k}"].alias("c")))
+            return F.transform("past", lambda p: F.struct(p[f"r{k}"].alias("r"), p[f"c{k}"].alias("c")))
 
+        settled = (_settled(child(0), DELTA) & _settled(child(1), DELTA)) if steps == check_every else F.lit(False)
         last = F.element_at("past", -1)
-        state = checkpoint(
-            moved.select(
-                "parent",
-                "try",
-                "c0",
-                "c1",
-                (last["r0"] + last["r1"]).alias("rss"),
-                (_settled(child(0), DELTA) & _settled(child(1), DELTA)).alias("converged"),
-            )
-        )
-        done.append(state.filter("converged"))
-        current = state.filter("not converged")
-        if current.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, [*done, current])
-
-
-def _table(centers: DataFrame) -> tuple[np.ndarray, int, np.ndarray]:
-    """A checked-small centre table as ``parents`` (sorted), number of tries, and centres [parent, try, side, dim]."""
-    rows = centers.select("parent", "try", "c0", "c1").toPandas()
-    parents = np.unique(rows["parent"].to_numpy())
-    tries = int(rows["try"].max()) + 1
-    dims = len(rows["c0"].iloc[0])
-    table = np.full((len(parents), tries, 2, dims), np.nan)
-    for p, t, c0, c1 in zip(np.searchsorted(parents, rows["parent"]), rows["try"], rows["c0"], rows["c1"]):
-        table[p, t, 0] = c0
-        if c1 is not None:
-            table[p, t, 1] = c1
-    return parents, tries, table
-
-
-def _sides(x: np.ndarray, at: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Side and squared distance of the nearer centre; the first on a tie, or where there is no second."""
-    d = np.stack([((x - centers[at, side]) ** 2).sum(1) for side in (0, 1)])
-    side = (d[1] < d[0]).astype(np.int64)
-    return side, np.where(side == 1, d[1], d[0])
-
-
-def _partial_means(shared):
-    """Task of one Lloyd step: per (parent, try, side) of this task's points the count, RSS and mean."""
-
-    def task(batches):
-        parents, active, table = shared.value
-        n_parents, tries, _, dims = table.shape
-        n = np.zeros((tries, n_parents * 2))
-        rss = np.zeros_like(n)
-        total = np.zeros((tries, n_parents * 2, dims))
-        for batch in batches:
-            at = np.searchsorted(parents, batch["parent"].to_numpy())
-            x = np.array(batch["v"].tolist(), dtype=np.float64)
-            for t in range(tries):
-                use = active[at, t]
-                if not use.any():
-                    continue
-                side, d2 = _sides(x[use], at[use], table[:, t])
-                key = at[use] * 2 + side
-                n[t] += np.bincount(key, minlength=n_parents * 2)
-                rss[t] += np.bincount(key, d2, minlength=n_parents * 2)
-                order = np.argsort(key, kind="stable")
-                keys, starts = np.unique(key[order], return_index=True)
-                total[t, keys] += np.add.reduceat(x[use][order], starts, axis=0)
-        t, key = np.nonzero(n)
-        yield pd.DataFrame(
-            {
-                "parent": parents[key // 2],
-                "try": t,
-                "side": key % 2,
-                "n": n[t, key],
-                "rss": rss[t, key],
-                "center": list(total[t, key] / n[t, key][:, None]),
-            }
-        )
-
-    return task
-
-
-def train_small(
-    points: DataFrame, first: DataFrame, max_steps: int = MAX_STEPS, check_every: int = CHECK_EVERY
-) -> DataFrame:
-    """As :func:`train`, for a centre table that is small by check: it is broadcast, and points are only read.
-
-    A task sends one row per child and try, already averaged over its points.
-    """
-    spark = points.sparkSession
-    parents, tries, table = _table(first)
-    active = ~np.isnan(table[:, :, 0, 0])
-    converged = np.zeros_like(active)
-    rss = np.zeros(active.shape)
-    past: list[tuple[np.ndarray, np.ndarray]] = []
-    for step in range(1, max_steps + 1):
-        shared = spark.sparkContext.broadcast((parents, active & ~converged, table))
-        stats = (
-            points.select("parent", "v")
-            .mapInPandas(_partial_means(shared), "parent long, try long, side long, n double, rss double, center array<double>")
-            .groupBy("parent", "try", "side")
-            .agg(F.sum("rss").alias("rss"), Summarizer.mean(array_to_vector("center"), F.col("n")).alias("m"))
-            .select("parent", "try", "side", "rss", vector_to_array("m").alias("m"))
-            .toPandas()
-        )
-        shared.unpersist()
-        p, t, side = np.searchsorted(parents, stats["parent"]), stats["try"].to_numpy(), stats["side"].to_numpy()
-        table, r = table.copy(), np.zeros(table.shape[:3])
-        table[p, t, side] = np.array(stats["m"].tolist())
-        r[p, t, side] = stats["rss"].to_numpy()
-        still = active & ~converged
-        rss[still] = r.sum(2)[still]
-        past = [*past[-2:], (r, table)]
-        if step % check_every == 0 and len(past) == 3:
-            converged |= still & _settled_states(past, DELTA).all(2)
-            if converged[active].all():
-                break
-    p, t = np.nonzero(active)
-    out = pd.DataFrame(
-        {
-            "parent": parents[p],
-            "try": t,
-            "c0": [c.tolist() for c in table[p, t, 0]],
-            "c1": [None if np.isnan(c[0]) else c.tolist() for c in table[p, t, 1]],
-            "rss": rss[p, t],
-            "converged": converged[p, t],
-        }
-    )
-    return spark.createDataFrame(out, "parent long, try int, c0 array<double>, c1 array<double>, rss double, converged boolean")
-
-
-def _settled_states(past, delta: float) -> np.ndarray:
-    """:func:`_settled` for arrays [parent, try, side]."""
-    r = np.stack([state[0] for state in past])
-    c = np.stack([state[1] for state in past])
-    order = np.argsort(r, axis=0, kind="stable")
-    r = np.take_along_axis(r, order, axis=0)
-    low = np.take_along_axis(c, order[..., None], axis=0)
-    same = ((low[0] == low[1]) | np.isnan(low[0])).all(-1)
-    return same | (r[2] - r[1] <= (1 + delta) * (r[1] - r[0]))
+        ready = F.when(F.size("past") >= 3, settled).otherwise(False)
+        state = checkpoint(moved.select("*", (last["r0"] + last["r1"]).alias("rss"), ready.alias("converged")))
+        done.append(state.where("converged").drop("past"))
+        current = state.where("not converged").drop("rss", "converged")
+        rest = state.where("not converged").drop("past")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, [*done, rest])
+
+
+def restarts(trained: DataFrame) -> DataFrame:
+    """``(try, rss, chosen)``: RSS of each restart over all clusters of the level; the lowest is chosen, the first on a tie."""
+    total = trained.groupBy("try").agg(F.sum("rss").alias("rss"))
+    best = F.min(F.struct(F.round("rss", 9).alias("rss"), "try")).over(Window.partitionBy(F.lit(0)))  # one row per restart
+    return total.select("try", "rss", (F.col("try") == best["try"]).alias("chosen"))
 
 
-def assign_small(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """As :func:`assign`, for a centre table that is small by check."""
-    parents, _, table = _table(centers.withColumn("try", F.lit(0)))
-    shared = points.sparkSession.sparkContext.broadcast((parents, table[:, 0]))
+@dataclass(frozen=True)
+class Bisection:
+    """``members(level, point, cluster_id)``, ``clusters(level, cluster_id, center, n, rss, converged)``, ``restarts(level, try, rss, chosen)``."""
 
-    def task(batches):
-        ids, centers_ = shared.value
-        for batch in batches:
-            at = np.searchsorted(ids, batch["parent"].to_numpy())
-            side, d2 = _sides(np.array(batch["v"].tolist(), dtype=np.float64), at, centers_)
-            yield pd.DataFrame({"point": batch["point"], "v": batch["v"], "child": batch["parent"] * 2 + side, "d2": d2})
+    members: DataFrame
+    clusters: DataFrame
+    restarts: DataFrame
 
-    return points.select("point", "parent", "v").mapInPandas(task, "point long, v array<double>, child long, d2 double")
 
-
-def best_try(trained: DataFrame) -> DataFrame:
-    """Centres of the restart with the lowest RSS summed over all clusters of the level."""
-    total = trained.groupBy("try").agg(F.sum("rss").alias("rss"))
-    best = total.agg(F.min_by("try", F.struct("rss", "try"))).scalar()
-    return trained.filter(F.col("try") == best).select("parent", "c0", "c1", "converged")
+MEMBERS, CLUSTERS, RESTARTS = ("level", "point", "cluster_id"), ("level", "cluster_id", "center", "n", "rss", "converged"), ("level", "try", "rss", "chosen")
 
 
 def bisect(
-    points: DataFrame, levels: int = LEVELS, tries: int = TRIES, max_steps: int = MAX_STEPS, seed: int = 42
-) -> tuple[DataFrame, DataFrame]:
-    """``(members, clusters)`` of ``points(point, v)``.
+    points: DataFrame, levels: int = LEVELS, tries: int = TRIES, max_steps: int = MAX_STEPS, seed: int = 42, cell_rows: int = CELL_ROWS
+) -> Bisection:
+    """Split ``points(point, v)`` level by level; level 0 is the whole set, with id 1.
 
-    ``members(level, point, cluster_id)`` and ``clusters(level, cluster_id, center, n, rss, converged)``; level 0
-    is the whole set, with id 1. A cluster of one point has one child. Stops early when no cluster can be
-    split: single points, or copies of one point.
+    A cluster of one point, or of copies of one point, is not split again: from then on it has one child a level, with the
+    even id. Ends early when no cluster can be split. Point ids must be unique; without points all tables are empty.
     """
-    dims = points.select(F.size("v").alias("d")).first()["d"]
-    root = points.select(F.lit(1).cast("long").alias("parent"), "point", V.doubles(F.col("v")).alias("v"))
-    current = checkpoint(root)
-    whole = summarize(
-        assign(current, V.mean_vectors(current, ["parent"], name="c0").withColumn("c1", F.lit(None).cast("array<double>")), True)
-        .withColumn("child", F.lit(1).cast("long")),
-        ["child"],
-    )
-    clusters = checkpoint(whole.select(F.lit(0).alias("level"), F.col("child").alias("cluster_id"), "center", "n", "rss", F.lit(True).alias("converged")))
-    members = [current.select(F.lit(0).alias("level"), "point", F.col("parent").alias("cluster_id"))]
-    every = [clusters]
+    root = checkpoint(points.select(F.lit(1).cast("long").alias("parent"), "point", V.doubles(F.col("v")).alias("v")))
+    mean = V.mean_vectors(root, ["parent"], name="c0").select("parent", "c0", F.lit(None).cast("array<double>").alias("c1"))
+    whole = summarize(assign(in_cells(root, cell_rows=cell_rows), mean), ["child"])
+    clusters = checkpoint(whole.select(F.lit(0).alias("level"), F.lit(1).cast("long").alias("cluster_id"), "center", "n", "rss", F.lit(True).alias("converged")))
+    least = F.lit(NOISE * NOISE) * F.lit(clusters.agg(F.sum("rss")).first()[0] or 0.0)
+    current = root
+    members = [root.select(F.lit(0).alias("level"), "point", F.col("parent").alias("cluster_id"))]
+    every, tried, closed = [clusters], [], []
+    last = 0
     for level in range(1, levels + 1):
         sizes = clusters.select(F.col("cluster_id").alias("parent"), F.col("n").alias("size"), "rss", "center")
-        n_parents = sizes.count()
-        # the same split is tried again until a cluster is one point or all copies
-        splittable = sizes.filter("size > 1 and rss > 0")
-        if splittable.isEmpty():
+        can_split = (F.col("size") > 1) & (F.col("rss") > least)
+        ended = sizes.where(~can_split)
+        closed.append((level - 1, current.join(ended.select("parent"), "parent", "left_semi"), clusters.where(~((F.col("n") > 1) & (F.col("rss") > least)))))
+        if sizes.where(can_split).isEmpty():
             break
-        small = n_parents * tries * 2 * dims * 8 <= BROADCAST_BYTES
-        open_points = _meet(current, splittable.select("parent"), small)
-        first = checkpoint(seeds(open_points, splittable, tries, seed + level, small))
-        trained = train_small(open_points, first, max_steps) if small else train(open_points, first, False, max_steps)
-        best = best_try(trained)
-        closed = sizes.filter("not (size > 1 and rss > 0)").select(
-            "parent", F.col("center").alias("c0"), F.lit(None).cast("array<double>").alias("c1"), F.lit(True).alias("converged")
-        )
-        centers = checkpoint(best.unionByName(closed))
-        moved = checkpoint(assign_small(current, centers) if small else assign(current, centers.drop("converged")))
+        last = level
+        cells = in_cells(current, sizes.where(can_split), tries, cell_rows)
+        trained = checkpoint(train(cells, checkpoint(seeds(cells.points, tries, seed + level)), max_steps))
+        judged = checkpoint(restarts(trained).select(F.lit(level).alias("level"), "try", "rss", "chosen"))
+        best = checkpoint(trained.join(F.broadcast(judged.where("chosen").select("try")), "try", "left_semi"))  # one row
+        moved = checkpoint(assign(cells, best))
+        drop_step(cells.points, trained)
         made = summarize(moved, ["child"]).join(
-            centers.select(F.col("parent").alias("_parent"), "converged"), F.expr("shiftright(child, 1) = _parent")
+            best.select(F.col("parent").alias("_parent"), "converged"), F.expr("shiftright(child, 1) = _parent")
         )
         clusters = checkpoint(made.select(F.lit(level).alias("level"), F.col("child").alias("cluster_id"), "center", "n", "rss", "converged"))
         current = moved.select(F.col("child").alias("parent"), "point", "v")
-        members.append(moved.select(F.lit(level).alias("level"), "point", F.col("child").alias("cluster_id")))
+        members.append(current.select(F.lit(level).alias("level"), "point", F.col("parent").alias("cluster_id")))
         every.append(clusters)
-    return reduce(DataFrame.unionByName, members), reduce(DataFrame.unionByName, every)
+        tried.append(judged)
+    for at, held, rows in closed:
+        # one child a level, with the even id
+        below = F.explode(F.sequence(F.lit(at + 1), F.lit(last))).alias("level") if at < last else None
+        if below is not None:
+            again = F.expr(f"shiftleft({{}}, level - {at})".format("cluster_id"))
+            members.append(held.select(below, "point", F.col("parent").alias("cluster_id")).withColumn("cluster_id", again))
+            every.append(rows.drop("level").select(below, "*").withColumns({"cluster_id": again, "converged": F.lit(True)}))
+    none = points.sparkSession.createDataFrame([], "level int, try int, rss double, chosen boolean")
+    return Bisection(
+        reduce(DataFrame.unionByName, [m.select(*MEMBERS) for m in members]),
+        reduce(DataFrame.unionByName, [c.select(*CLUSTERS) for c in every]),
+        reduce(DataFrame.unionByName, [none, *(t.select(*RESTARTS) for t in tried)]),
+    )
 
 
 def cluster_report(clusters: DataFrame, labels: DataFrame, top: int = 2) -> DataFrame:

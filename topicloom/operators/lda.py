@@ -1,19 +1,24 @@
 """Topics of a token corpus ``(corpus_id, tokens)``: dictionary, training, tables of the result.
 
 Training is zero-order collapsed variational Bayes on tables, at every size: a topic vector per document and one per
-term are rows, an iteration joins them to the word counts and sums the shares by document, then by term.
+term are rows. The word counts lie in a grid, blocks of documents by blocks of terms, dealt out once. In an iteration a
+vector travels once to each cell that has words of its document or term, never once per word, and a cell gives back one
+row of sums per document, then per term.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.scale import checkpoint, drop_step, ordered_index, ship_with_tasks
+from topicloom.scale import checkpoint, checkpoint_by, drop_step, ordered_index, ship_with_tasks
 
 ship_with_tasks(__name__)
 
@@ -21,6 +26,8 @@ ship_with_tasks(__name__)
 # between two measurements, one document in so many that is measured.
 TOPICS, ITERATIONS, DOC_SMOOTHING, TERM_SMOOTHING, MIN_USES = 300, 1000, 50.0, 0.1, 2
 MEASURE_EVERY, MEASURED = 10, 10
+# Vectors of one kind that meet in a cell, on average, and word rows that a task works on at a time.
+CELL_VECTORS, CHUNK_ROWS = 8_192, 16_384
 MEASURES = "iteration int, words double, log_perplexity double"
 
 
@@ -46,43 +53,94 @@ def draw(of: Column, span: int) -> Column:
     return F.conv(F.substring(F.md5(of), 1, 7), 16, 10).cast("long") % span
 
 
+@dataclass(frozen=True)
+class Grid:
+    """``words(cell, corpus_id, term_id, n, tested)`` bucketed by cell, and which cells each document and term has words in."""
+
+    words: DataFrame
+    cells_of: dict[str, DataFrame]  # of corpus_id and of term_id: (id, cell)
+    count: int
+
+
+def grid(counts: DataFrame, documents: int, terms: int, cell_vectors: int = CELL_VECTORS) -> Grid:
+    """Deal the word counts into blocks of documents x blocks of terms, each with a bounded number of vectors."""
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    doc_blocks = max(1, -(-documents // cell_vectors), min(cores, documents // 256))
+    term_blocks = max(1, -(-terms // cell_vectors))
+    block = {k: F.pmod(F.xxhash64(k), F.lit(n)) for k, n in (("corpus_id", doc_blocks), ("term_id", term_blocks))}
+    cell = (block["corpus_id"] * term_blocks + block["term_id"]).cast("int").alias("cell")
+    tested = draw(F.col("corpus_id").cast("string"), MEASURED) == 0
+    words = checkpoint_by(
+        counts.select(cell, "corpus_id", "term_id", F.col("n").cast("double").alias("n"), tested.alias("tested")), "cell", doc_blocks * term_blocks
+    )
+    cells_of = {k: checkpoint(words.select(F.col(k).alias("id"), "cell").distinct()) for k in block}
+    return Grid(words, cells_of, doc_blocks * term_blocks)
+
+
+def _vectors(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids of the documents (0) or terms (1) of a cell, and their vectors."""
+    mine = table.filter(pa.compute.equal(table["kind"], kind)).sort_by("id")
+    flat = mine["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return mine["id"].to_numpy(), flat.reshape(mine.num_rows, -1)
+
+
+def _chunks(words: pa.Table, vectors: pa.Table, columns: list[str]):
+    """Runs of a cell's words: places of document and term among the cell's vectors, and the given columns."""
+    (docs, doc_v), (terms, term_v) = _vectors(vectors, 0), _vectors(vectors, 1)
+    at = [np.searchsorted(ids, words[c].to_numpy()) for ids, c in ((docs, "corpus_id"), (terms, "term_id"))]
+    held = [words[c].to_numpy() for c in columns]
+    for start in range(0, words.num_rows, CHUNK_ROWS):
+        part = slice(start, start + CHUNK_ROWS)
+        yield docs, doc_v, at[0][part], terms, term_v, at[1][part], *(h[part] for h in held)
+
+
 def _shares(key: str, total: np.ndarray, alpha: float, eta: float, n_terms: int):
-    """Task that gives each word's count to the topics and sums by ``key`` inside every batch."""
-
-    def task(batches):
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            doc, term = (np.array(batch[c].tolist(), dtype=np.float64) for c in ("doc_v", "term_v"))
-            share = (doc + alpha) * (term + eta) / (total + eta * n_terms)
-            share *= (batch["n"].to_numpy() / share.sum(1))[:, None]
-            keys = batch[key].to_numpy()
-            order = np.argsort(keys, kind="stable")
-            ids, starts = np.unique(keys[order], return_index=True)
-            yield pd.DataFrame({key: ids, "s": list(np.add.reduceat(share[order], starts, axis=0))})
+    """Task that gives each word's count to the topics and sums over the cell by ``key``."""
+
+    def task(words: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids, sums = np.zeros(0, np.int64), np.zeros((0, len(total)))
+        for docs, doc_v, d, terms, term_v, t, n in _chunks(words, vectors, ["n"]):
+            if not len(ids):
+                ids = docs if key == "corpus_id" else terms
+                sums = np.zeros((len(ids), len(total)))
+            share = (doc_v[d] + alpha) * (term_v[t] + eta) / (total + eta * n_terms)
+            share *= (n / share.sum(1))[:, None]
+            place = d if key == "corpus_id" else t
+            order = np.argsort(place, kind="stable")
+            found, starts = np.unique(place[order], return_index=True)
+            sums[found] += np.add.reduceat(share[order], starts, axis=0)
+        listed = pa.FixedSizeListArray.from_arrays(sums.ravel(), len(total)).cast(pa.list_(pa.float64()))
+        return pa.table({"id": pa.array(ids, pa.int64()), "s": listed})
 
     return task
 
 
 def _likelihood(total: np.ndarray, eta: float, n_terms: int):
-    """Task that sums words and their logarithmic likelihood."""
-
-    def task(batches):
-        words, logs = 0.0, 0.0
-        for batch in batches:
-            if len(batch):
-                doc, term = (np.array(batch[c].tolist(), dtype=np.float64) for c in ("doc_v", "term_v"))
-                n = batch["n"].to_numpy()
-                words += n.sum()
-                logs += (n * np.log((doc * (term + eta) / (total + eta * n_terms)).sum(1))).sum()
-        yield pd.DataFrame({"words": [words], "logs": [logs]})
+    """Task that sums words of tested documents and their logarithmic likelihood."""
+
+    def task(words: pa.Table, vectors: pa.Table) -> pa.Table:
+        count, logs = 0.0, 0.0
+        for _, doc_v, d, _, term_v, t, n, tested in _chunks(words, vectors, ["n", "tested"]):
+            d, t, n = d[tested], t[tested], n[tested]
+            count += n.sum()
+            logs += (n * np.log((doc_v[d] * (term_v[t] + eta) / (total + eta * n_terms)).sum(1))).sum()
+        return pa.table({"words": [count], "logs": [logs]})
 
     return task
 
 
-def _summed(words: DataFrame, key: str, task) -> DataFrame:
-    partial = words.mapInPandas(task, f"{key} long, s array<double>")
-    return partial.groupBy(key).agg(Summarizer.sum(array_to_vector("s")).alias("s")).select(key, vector_to_array("s").alias("v"))
+def _meet(cells: Grid, by_doc: DataFrame, by_term: DataFrame, task, schema: str) -> DataFrame:
+    """Run ``task(words, vectors)`` on every cell. Only vectors move."""
+    sent = [
+        vectors.select(F.col(key).alias("id"), "v").join(cells.cells_of[key], "id").select("cell", F.lit(kind).alias("kind"), "id", "v")
+        for kind, (key, vectors) in enumerate((("corpus_id", by_doc), ("term_id", by_term)))
+    ]
+    return cells.words.groupBy("cell").cogroup(sent[0].unionByName(sent[1]).groupBy("cell")).applyInArrow(task, schema)
+
+
+def _summed(partial: DataFrame, key: str) -> DataFrame:
+    sums = partial.groupBy("id").agg(Summarizer.sum(array_to_vector("s")).alias("s"))
+    return sums.select(F.col("id").alias(key), vector_to_array("s").alias("v"))
 
 
 def _unit(v: Column) -> Column:
@@ -100,8 +158,8 @@ def train(
     """``topic_terms``, ``doc_topics``, ``points`` and ``perplexity`` of a corpus.
 
     Terms start from numbers drawn for (term, topic, seed), documents with equal topics; a document without terms of
-    the dictionary keeps equal topics. Only the topic totals pass through the driver. A term is in at most a fifth of the
-    documents, and adaptive execution splits the join of such a term. Every ``measure_every`` iterations the
+    the dictionary keeps equal topics. Only the topic totals pass through the driver. The vector of a frequent term goes to every
+    block of documents once, whatever the number of its words. Every ``measure_every`` iterations the
     perplexity of a tenth of the documents is taken with the model as it is; no model is trained twice.
     """
     alpha, eta = doc_smoothing / topics, TERM_SMOOTHING
@@ -116,31 +174,26 @@ def train(
     documents = checkpoint(corpus.select("corpus_id").distinct())
     by_doc = checkpoint(documents.withColumn("v", equal))
 
-    def words(rows: DataFrame) -> DataFrame:
-        return (
-            rows.join(by_doc.withColumnRenamed("v", "doc_v"), "corpus_id")
-            .join(by_term.withColumnRenamed("v", "term_v"), "term_id")
-            .select("corpus_id", "term_id", F.col("n").cast("double").alias("n"), "doc_v", "term_v")
-        )
-
     def totals() -> np.ndarray:
         found = by_term.agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("t")).first()["t"] if n_terms else None
         return np.array(found if found is not None else np.ones(topics))
 
-    tested = counts.where(draw(F.col("corpus_id").cast("string"), MEASURED) == 0)
+    cells = grid(counts, documents.count(), n_terms)
+    sums = "id long, s array<double>"
     measured = []
     total = totals()
     for step in range(1, iterations + 1):
         old = by_doc, by_term
-        summed = _summed(words(counts), "corpus_id", _shares("corpus_id", total, alpha, eta, n_terms)).withColumn("v", _unit(F.col("v")))
+        shares = _meet(cells, by_doc, by_term, _shares("corpus_id", total, alpha, eta, n_terms), sums)
+        summed = _summed(shares, "corpus_id").withColumn("v", _unit(F.col("v")))
         by_doc = checkpoint(documents.join(summed, "corpus_id", "left").withColumn("v", F.coalesce("v", equal)))
-        by_term = checkpoint(_summed(words(counts), "term_id", _shares("term_id", total, alpha, eta, n_terms)))
+        by_term = checkpoint(_summed(_meet(cells, by_doc, by_term, _shares("term_id", total, alpha, eta, n_terms), sums), "term_id"))
         for table in old:
             drop_step(table)
         total = totals()
         if measure_every and step % measure_every == 0:
-            sums = words(tested).mapInPandas(_likelihood(total, eta, n_terms), "words double, logs double")
-            seen, logs = sums.agg(F.sum("words"), F.sum("logs")).first()
+            likely = _meet(cells, by_doc, by_term, _likelihood(total, eta, n_terms), "words double, logs double")
+            seen, logs = likely.agg(F.sum("words"), F.sum("logs")).first()
             if seen:
                 measured.append((step, float(seen), -float(logs) / float(seen)))
     norm = F.array(*[F.lit(float(t)) for t in total])

@@ -8,10 +8,11 @@ shape of the tree.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as V
@@ -25,6 +26,8 @@ LAST_CUT = 2.0
 
 LABELLED_TOPICS = 10
 
+PATH_BLOCK = 256  # levels of a path that meet the nodes below it in one task
+
 RADIX = 8  # leaves are summed in aligned blocks of RADIX, RADIX^2, ... places
 
 
@@ -63,26 +66,65 @@ def fold_to_root(state: DataFrame, combine: Callable[[Column, Column], Column])
     return state.select("node", "acc")
 
 
-def ancestors(nodes: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """``(node, ancestor, hops)`` of the start nodes (default: singletons), the node itself at 0 hops."""
-    first = singletons(nodes) if start is None else start
-    pairs = checkpoint(
-        first.select(F.col("cluster_id").alias("node"), F.col("cluster_id").alias("ancestor"), F.lit(0).alias("hops"))
-    )
-    jump = checkpoint(
-        nodes.filter("parent_id is not null").select(F.col("cluster_id").alias("ancestor"), F.col("parent_id").alias("_to"))
+def heavy_paths(nodes: DataFrame) -> DataFrame:
+    """``(cluster_id, path, down)``: every node lies on one path, ``down`` levels below the path's head ``path``.
+
+    A path goes on to the larger child (the left one of two equals), so the way from any node to the root touches at most
+    log2(n) paths, whatever the shape of the tree. One row per node; the table is built once per tree.
+    """
+    children = nodes.select("cluster_id", "parent_id", "size")
+    sides = nodes.where("size > 1").select(F.col("cluster_id").alias("parent_id"), "left_id", F.col("size").alias("_whole"))
+    both = children.join(sides, "parent_id", "left")
+    half = F.col("size") * 2
+    heavy = (half > F.col("_whole")) | ((half == F.col("_whole")) & (F.col("cluster_id") == F.col("left_id")))
+    own = F.struct(F.lit(0).cast("long").alias("down"), F.col("cluster_id").alias("path"))
+    up = F.struct(F.lit(1).cast("long").alias("down"), F.col("parent_id").alias("path"))
+    state = both.select(
+        F.col("cluster_id").alias("node"), F.when(heavy, F.col("parent_id")).alias("ptr"), F.when(heavy, up).otherwise(own).alias("acc")
     )
-    span = 1
-    while not jump.isEmpty():
-        further = pairs.join(jump, "ancestor").select("node", F.col("_to").alias("ancestor"), (F.col("hops") + span).alias("hops"))
-        pairs = checkpoint(pairs.unionByName(further))
-        jump = checkpoint(
-            jump.join(jump.select(F.col("ancestor").alias("_to"), F.col("_to").alias("_end")), "_to").select(
-                "ancestor", F.col("_end").alias("_to")
-            )
+    found = fold_to_root(state, lambda a, b: F.struct((a["down"] + b["down"]).alias("down"), b["path"].alias("path")))
+    return checkpoint(found.select(F.col("node").alias("cluster_id"), "acc.path", "acc.down"))
+
+
+def stretches(nodes: DataFrame, start: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(node, path, down, least, hops)``: the way up from ``start(cluster_id[, top])``, one row per path it touches.
+
+    The node's ancestors on a path are those from ``down`` to ``least`` levels below the path's head, the first of them
+    ``hops`` levels above the node. With ``top``, an ancestor, the way ends there. At most log2(n) rows per start node.
+    """
+    # where a path ends, its head's parent lies on the next one
+    heads = paths.where("down = 0").select("cluster_id").join(nodes.select("cluster_id", "parent_id"), "cluster_id")
+    above = paths.select(F.col("cluster_id").alias("parent_id"), F.col("path").alias("_path"), F.col("down").alias("_down"))
+    next_ = checkpoint(heads.join(above, "parent_id").select(F.col("cluster_id").alias("path"), "_path", "_down"))
+    layer = start.select(F.col("cluster_id").alias("node"), "cluster_id", F.col("top") if "top" in start.columns else F.lit(None).cast("long").alias("top"))
+    ends = paths.select(F.col("cluster_id").alias("top"), F.col("path").alias("_end"), F.col("down").alias("_least"))
+    layer = layer.join(paths, "cluster_id").join(ends, "top", "left")
+    layer = checkpoint(layer.select("node", "path", "down", F.lit(0).cast("long").alias("hops"), "_end", "_least"))
+    done = []
+    while True:
+        last = F.coalesce(F.col("path") == F.col("_end"), F.lit(False))
+        done.append(layer.select("node", "path", "down", F.when(last, F.col("_least")).otherwise(0).cast("long").alias("least"), "hops"))
+        going = layer.where(~last).join(next_, "path")
+        layer = checkpoint(
+            going.select("node", F.col("_path").alias("path"), F.col("_down").alias("down"), (F.col("hops") + F.col("down") + 1).alias("hops"), "_end", "_least")
         )
-        span *= 2
-    return pairs
+        if layer.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def ancestors(nodes: DataFrame, start: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """``(node, ancestor, hops)`` of the start nodes ``(cluster_id[, top])`` (default: singletons), the node itself at 0 hops.
+
+    Only :func:`stretches` are written; their nodes are laid out in the last join, for the nodes asked for. A long
+    path is cut into blocks, so that its nodes meet the stretches in many tasks.
+    """
+    given = paths if paths is not None else heavy_paths(nodes)
+    ways = stretches(nodes, singletons(nodes) if start is None else start, given)
+    block = F.explode(F.sequence(F.floor(F.col("least") / PATH_BLOCK), F.floor(F.col("down") / PATH_BLOCK))).alias("_block")
+    asked = ways.select("node", "path", F.col("down").alias("_from"), "least", "hops", block)
+    there = given.select("path", "down", F.col("cluster_id").alias("ancestor"), F.floor(F.col("down") / PATH_BLOCK).alias("_block"))
+    met = asked.join(there, ["path", "_block"]).where((F.col("down") <= F.col("_from")) & (F.col("down") >= F.col("least")))
+    return met.select("node", "ancestor", (F.col("hops") + F.col("_from") - F.col("down")).cast("int").alias("hops"))
 
 
 def with_parent(nodes: DataFrame) -> DataFrame:
@@ -187,14 +229,19 @@ def edges(tree: DataFrame) -> DataFrame:
     return tree.select("parent_id", "cluster_id").join(inside, "parent_id", "left_semi")
 
 
-def density_trend(nodes: DataFrame) -> DataFrame:
-    """``(point, cluster_id, size, density)`` of every cluster that holds the point."""
-    chain = ancestors(nodes).select(F.col("node").alias("point"), F.col("ancestor").alias("cluster_id"))
+def density_trend(nodes: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """``(point, cluster_id, size, density)`` of every cluster that holds the point; of all points, or of ``points(point)``."""
+    start = None if points is None else _asked(nodes, points)
+    chain = ancestors(nodes, start).select(F.col("node").alias("point"), F.col("ancestor").alias("cluster_id"))
     return chain.join(nodes.select("cluster_id", "size", "density"), "cluster_id").select(
         "point", "cluster_id", "size", "density"
     )
 
 
+def _asked(nodes: DataFrame, points: DataFrame) -> DataFrame:
+    return singletons(nodes).join(points.select(F.col("point").alias("cluster_id")).distinct(), "cluster_id", "left_semi")
+
+
 def best_clusters(nodes: DataFrame) -> DataFrame:
     """``(point, cluster_id, size)``: the cluster just below the largest jump in size; the higher one on a tie."""
     jump = F.struct(
@@ -220,22 +267,17 @@ def incremental_chain(nodes: DataFrame, points: DataFrame | None = None) -> Data
     report to the points asked for.
     """
     best = best_clusters(nodes)
-    start = singletons(nodes)
     if points is not None:
-        best = best.join(points.select("point"), "point", "left_semi")
-        start = start.join(points.select(F.col("point").alias("cluster_id")), "cluster_id", "left_semi")
+        best = best.join(points.select("point").distinct(), "point", "left_semi")
+    start = best.select(F.col("point").alias("cluster_id"), F.col("cluster_id").alias("top"))
     chain = ancestors(nodes, start).select(
         F.col("node").alias("point"), F.col("ancestor").alias("cluster_id"), F.col("hops").alias("level")
     )
     info = nodes.select("cluster_id", "size", "density", "left_id", "right_id")
-    up_to_best = (
-        chain.join(info, "cluster_id")
-        .join(best.select("point", F.col("size").alias("_limit")), "point")
-        .filter(F.col("size") <= F.col("_limit"))
-    )
+    up_to_best = chain.join(info, "cluster_id")
     # the child on the chain is one level below; the other child is what joined
-    below = up_to_best.select("point", (F.col("level") + 1).alias("level"), F.col("cluster_id").alias("_child"), F.col("size").alias("_had"))
-    joined = up_to_best.join(below, ["point", "level"], "left")
+    chain_of = Window.partitionBy("point").orderBy("level")
+    joined = up_to_best.withColumns({"_child": F.lag("cluster_id").over(chain_of), "_had": F.lag("size").over(chain_of)})
     other = F.when(F.col("_child").isNull(), F.col("cluster_id")).when(
         F.col("_child") == F.col("left_id"), F.col("right_id")
     ).otherwise(F.col("left_id"))

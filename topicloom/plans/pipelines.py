@@ -174,8 +174,8 @@ def compare_tags(doc_tags: DataFrame, doc_topics: DataFrame, topic_terms: DataFr
 
 
 def top_down(points: DataFrame, levels: int = kmeans.LEVELS, **options) -> Tables:
-    members, clusters = kmeans.bisect(points, levels, **options)
-    return {"members": members, "clusters": clusters}
+    made = kmeans.bisect(points, levels, **options)
+    return {"members": made.members, "clusters": made.clusters, "restarts": made.restarts}
 
 
 def dump_top_down(clusters: DataFrame, topic_terms: DataFrame) -> Tables:

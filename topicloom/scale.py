@@ -50,10 +50,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return table
 
 
+def checkpoint_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """As :func:`checkpoint`, dealt out by ``key`` into ``parts`` buckets.
+
+    Joins and groups on ``key`` read the table without moving it, however often it is read.
+    """
+    spark = df.sparkSession
+    name = f"step_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/step-{name}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table._step_path, table._step_name = path, name
+    return table
+
+
 def drop_step(*tables: DataFrame) -> None:
-    """Delete tables that :func:`checkpoint` wrote, once nothing reads them any more; others are left alone."""
+    """Delete tables that :func:`checkpoint` and :func:`checkpoint_by` wrote, once nothing reads them; others are left alone."""
     for table in tables:
         path = getattr(table, "_step_path", None)
+        if getattr(table, "_step_name", None):
+            table.sparkSession.sql(f"drop table if exists {table._step_name}")
         if path is not None and "/step-" in path:
             place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,5 +1,7 @@
 """Pipelines from commits to reports, end to end on a small set."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,17 @@ def test_from_log_to_cluster_metrics(spark, inputs, tmp_path):
     assert dump["top_terms"].count() == 6
 
     trend = PL.topic_trend(topics["doc_topics"], made["id_index"], commits, changes, tags)
+    PL.save_trend(trend, topics["topic_terms"], tags, str(tmp_path / "trend"))
+    saved = ST.read_trend(spark, str(tmp_path / "trend" / "version"), "release")
+    assert saved.count() == trend["by_release"].count() and saved.where("label = ''").count() == 0
+    folders = list((tmp_path / "trend" / "version").glob("topic=*"))
+    when = {r["tag"]: r["ts"] for r in tags.collect()}
+    for folder in folders:
+        files = sorted(folder.glob("part-*"))
+        shown = [line.split(",")[0] for f in files for line in f.read_text().splitlines()[1:]]
+        known = [when[t] for t in shown if t in when]
+        assert known == sorted(known) and shown
+    assert len(list((tmp_path / "trend" / "version").glob("topic=*/part-*"))) <= len(folders) + 16
     for name, key in (("by_release", "release"), ("by_directory", "dir")):
         total = trend[name].groupBy(key).agg(F.sum("p").alias("s")).collect()
         assert total and all(r["s"] == pytest.approx(1.0) for r in total)
@@ -63,13 +76,34 @@ def test_from_log_to_cluster_metrics(spark, inputs, tmp_path):
     metrics = PL.cluster_metrics(nodes, topics["doc_topics"], made["id_index"], made["commits"], files, cuts=[0.1, 2.0])
     whole = metrics["report"].filter("cut = 2.0 and kind = 'keyword' and name = 'bug.memory.leak'").first()
     assert whole["value"] == n
-    ST.write_cluster_metrics(metrics["report"], metrics["points"], metrics["sizes"], str(tmp_path / "metrics"))
+    PL.save_cluster_metrics(metrics, str(tmp_path / "metrics"))
+    whole = next((tmp_path / "metrics" / "clusters" / "cut=2.0").iterdir())
+    text = "".join(p.read_text() for p in sorted(whole.glob("part-*")))
+    told = json.loads(text)
+    assert told["cluster"]["size"] == n and len([p for p in told["points"] if "distance" in p]) == n
+    assert sum(d["value"] for d in told["dates"]) == len([p for p in told["points"] if "commit" in p]) == made["id_index"].count()
+    far = [p["distance"] for p in told["points"] if "distance" in p]
+    assert far == sorted(far) and [t["value"] for t in told["topics"]] == sorted((t["value"] for t in told["topics"]), reverse=True)
+    assert {k["keyword"]: k["value"] for k in told["keywords"]}["bug.memory.leak"] == n
+    files_written = list((tmp_path / "metrics" / "clusters").glob("*/*/part-*"))
+    assert len(files_written) <= metrics["sizes"].count() + spark.sparkContext.defaultParallelism * 4
+    back = ST.read_cluster_documents(spark, str(tmp_path / "metrics"))
+    assert back.where("cut = 2.0 and entry.point is not null and entry.commit is null").count() == n
+    PL.save_cut(nodes, 2.0, str(tmp_path / "cut"))
+    assert ST.read_cut(spark, str(tmp_path / "cut")).count() == nodes.count()
+    assert [p.name for p in (tmp_path / "cut" / "all" / "cut=2.0").iterdir()] == [whole.name]
 
     asked = spark.createDataFrame([("c3",)], "doc_id string")
     near = PL.similar_documents(nodes, topics["doc_topics"], made["id_index"], made["commits"], files, asked)
     best = near["chain"].orderBy(F.desc("level")).first()
     assert near["new_points"].count() == best["size"]
     assert near["facts"].filter("doc_id = 'c3'").first()["subject"].startswith("Fix leak")
+    rows = PL.document_report(nodes, topics["doc_topics"], made["id_index"], made["commits"], files, asked)
+    kinds = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    assert kinds["subject"] == 1 and kinds["new_point"] == best["size"] and kinds["chain"] == near["chain"].count()
+    ST.write_point_reports(rows, str(tmp_path / "points"))
+    again = ST.read_point_reports(spark, str(tmp_path / "points"), "point long, kind string, place int, name string, value double, bucket long")
+    assert again.count() == rows.count()
 
 
 def test_stable_and_listed(spark, inputs):

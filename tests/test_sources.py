@@ -61,8 +61,8 @@ def test_bug_records(spark, tmp_path):
     assert labels["s2-F1"] >= {"trigger:race", "error:hang", "fixedloc:mm"}
     assert {r["error"]: r["n"] for r in B.unclassified(records.labels, taxonomy).collect()} == {"hang": 1}
     # a record whose labels are all filtered out stays as a row of zeros
-    crash = X.binary_wide(X.with_prefix(records, "crash:"))
-    assert crash.count() == 5 and crash.columns[:2] == ["key", "objective"]
+    crash = X.binary_wide(X.with_prefix(records, "crash:")).lines.collect()
+    assert sorted((r["key"], r["line"]) for r in crash) == [("s1", "1"), ("s2-F0", "1"), ("s2-F1", "0"), ("s3", "0"), ("s5", "0")]
 
 
 def test_an_id_in_two_files_is_one_record(spark, tmp_path):
@@ -84,19 +84,39 @@ def test_malformed_fixes_are_listed(spark, tmp_path):
     assert {(r["key"], tuple(r["missing"])) for r in got.collect()} == {("no-if", ("if",)), ("none-F1", ("when", "fix", "if", "errors"))}
 
 
-def test_wide_tables_in_column_groups(spark, tmp_path, monkeypatch):
-    keys = spark.createDataFrame([("k1", "o"), ("k2", "o"), ("k3", "p")], "key string, objective string")
-    labels = spark.createDataFrame([("k1", f"v{i}") for i in range(7)] + [("k2", "v3")], "key string, var string")
+def test_wide_tables(spark, tmp_path):
+    keys = spark.createDataFrame([("k1", "o"), ("k2", 'o,"x'), ("k3", "p")], "key string, objective string")
+    labels = spark.createDataFrame([("k1", f"v{i:05d}") for i in range(12_000)] + [("k2", "v00003"), ("k2", "v11999")], "key string, var string")
     records = X.Records(keys, labels)
-    for name, columns in (("one", 5_000), ("many", 3)):
-        monkeypatch.setattr(X, "MAX_COLUMNS", columns)
-        ST.write_crosstab(records, str(tmp_path / name))
-        back = ST.read_crosstab(spark, str(tmp_path / name))
-        assert {tuple(r) for r in back.keys.collect()} == {tuple(r) for r in keys.collect()}
-        assert {tuple(r) for r in back.labels.collect()} == {tuple(r) for r in labels.collect()}
+    ST.write_crosstab(records, str(tmp_path / "x"))
+    back = ST.read_crosstab(spark, str(tmp_path / "x"))
+    assert {tuple(r) for r in back.keys.collect()} == {tuple(r) for r in keys.collect()}
+    assert {tuple(r) for r in back.labels.collect()} == {tuple(r) for r in labels.collect()}
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "x" / "binary" / "rows")).collect())
+    assert {line.count(",") for line in lines if line.startswith(("k1", "k3"))} == {12_001}
+    assert lines[0] == "k1,o" + ",1" * 12_000 and lines[2] == "k3,p" + ",0" * 12_000
+    counts = X.contingency_wide(records)
+    first = {r["objective"]: r["line"].split(",")[:3] for r in counts.lines.collect()}
+    assert first == {"o": ["1", "1", "1"], 'o,"x': ["1", "1", "0"], "p": ["0", "0", "0"]}
+    # nothing of the plan grows with the columns
+    assert len(counts.lines._jdf.queryExecution().optimizedPlan().toString()) < 6_000
+
+
+def test_wide_tables_without_cells(spark, tmp_path):
+    keys = spark.createDataFrame([("k1", "o")], "key string, objective string")
+    none = X.Records(keys, spark.createDataFrame([], "key string, var string"))
+    ST.write_crosstab(none, str(tmp_path / "x"))
+    back = ST.read_crosstab(spark, str(tmp_path / "x"))
+    assert [tuple(r) for r in back.keys.collect()] == [("k1", "o")] and back.labels.count() == 0
+
+
+def test_wide_matrix(spark, tmp_path):
     matrix = spark.createDataFrame([(f"r{i % 2}", f"c{i}", float(i)) for i in range(7)], "row string, col string, value double")
     ST.write_matrix_wide(matrix, str(tmp_path / "m"))
-    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["columns-0", "columns-1", "columns-2"]
+    back = ST.read_wide(spark, str(tmp_path / "m"), ["row"])
+    assert [r["name"] for r in back.columns.orderBy("at").collect()] == [f"c{i}" for i in range(7)]
+    lines = {r["row"]: [float(c) for c in r["line"].split(",")] for r in back.lines.collect()}
+    assert lines == {f"r{k}": [float(i) if i % 2 == k else 0.0 for i in range(7)] for k in (0, 1)}
 
 
 def test_dendrogram_csv(spark, tmp_path):

@@ -35,6 +35,7 @@ def _lines(spark, sf):
         F.col("l_suppkey").alias("path"),
         "l_linenumber",
         "l_quantity",
+        F.date_format("l_shipdate", "yyyy/MM").alias("date"),
     )
 
 
@@ -67,6 +68,82 @@ def cluster_files(spark, sf):
     return R.frequencies(_members(spark, sf), index, facts, "path")
 
 
+def cluster_dates(spark, sf):
+    facts = _lines(spark, sf).select("doc_id", "date").distinct()
+    index = _id_index(spark, sf).distinct()
+    return R.frequencies(_members(spark, sf), index, facts, "date")
+
+
+REPORT_CUTS = [CUTS[1], CUTS[3], CUTS[6]]
+
+
+def cluster_documents(spark, sf):
+    """The JSON documents of all cut clusters, written and read back entry by entry."""
+    nodes, lines, weights = order_tree(spark, sf), _lines(spark, sf), checkpoint(_weights(spark, sf))
+    members = checkpoint(G.under_cuts(nodes, REPORT_CUTS).withColumnRenamed("node", "point"))
+    index = checkpoint(lines.select("point", "doc_id").distinct())
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    point_rules = checkpoint(R.keyword_points(texts.select(F.col("doc_id").alias("point"), "doc_id"), texts, RULES))
+    facts = [lines.select("doc_id", c).distinct() for c in ("version", "date", "path")]
+    told = checkpoint(R.report(members, weights, index, *facts, point_rules))
+    sizes, near = G.cut_sweep(nodes, REPORT_CUTS), checkpoint(R.point_distances(members, weights))
+    path = _folder(spark)
+    ST.write_cluster_documents(R.documents(sizes, told, near, R.originals(members, index), point_rules), sizes, path)
+    e = ST.read_cluster_documents(spark, path).select("cut", "cluster_id", "entry.*")
+    name = F.coalesce("topic", "date", "version", "file", "keyword", F.concat(F.lit("+"), "commit"), F.array_join("keywords", "|"))
+    value = F.round(F.coalesce("value", "distance"), 6)
+    return e.select("cut", "cluster_id", "point", name.alias("name"), value.alias("value"))
+
+
+def cluster_sizes_file(spark, sf):
+    """Sizes and densities of the cut clusters as files."""
+    nodes, path = order_tree(spark, sf), _folder(spark)
+    sizes = G.cut_sweep(nodes, CUTS)
+    ST.write_folders(sizes.withColumn("_small", -F.col("size")), ["cut"], ["_small", "cluster_id"], path, keep=["cluster_id", "size", "density"])
+    return spark.read.schema("cluster_id long, size long, density double, cut double").csv(path, header=True)
+
+
+def cut_files(spark, sf):
+    """The subtree of every cut cluster, a folder each, written and read back."""
+    nodes, path = order_tree(spark, sf), _folder(spark)
+    made = G.under_cuts(nodes, [REPORT_CUTS[1]], only_points=False)
+    ST.write_cut(G.by_size(G.cut(nodes, REPORT_CUTS[1])), made, nodes, path)
+    return ST.read_cut(spark, path).select("cut", "cluster_id", "node", "size", F.round("density", 6).alias("density"), "parent_id")
+
+
+def trend_files(spark, sf):
+    """Topic shares by release, a labelled folder for each topic, written and read back."""
+    from topicloom.plans import pipelines as PL
+
+    vectors_ = S.vectors_of(spark, sf)
+    index = vectors_.select(F.col("doc").alias("corpus_id"), F.col("doc").alias("doc_id"))
+    doc_topics = S.weights(spark, sf).withColumnRenamed("doc", "corpus_id")
+    tags, path = S.tags(spark, sf), _folder(spark)
+    trend = PL.topic_trend(doc_topics, index, S.commits(spark, sf), S.changes(spark, sf), tags)
+    terms = spark.range(64).select(F.col("id").cast("int").alias("topic"), F.concat(F.lit("t"), "id").alias("term"), F.lit(1.0).alias("p"))
+    PL.save_trend(trend, terms, tags, path)
+    return ST.read_trend(spark, f"{path}/version", "release").select("topic", "label", "release", F.round("p", 6).alias("p"))
+
+
+def document_report(spark, sf):
+    """The report of the dearest order of every customer nation."""
+    from topicloom.plans import pipelines as PL
+
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    paid = orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+    dearest = paid.groupBy("c_nationkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("doc_id"))
+    index = orders.select(F.col("o_orderkey").alias("corpus_id"), F.col("o_orderkey").alias("doc_id"))
+    text = F.concat("o_orderpriority", F.lit("\nby "), "o_custkey")
+    commits = orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("version"), text.alias("text"))
+    files = _lines(spark, sf).select(F.col("point").alias("doc_id"), F.col("path").cast("string").alias("path"))
+    topics = _weights(spark, sf).withColumnRenamed("point", "corpus_id")
+    rows = PL.document_report(order_tree(spark, sf), topics, index, commits, files, dearest.select("doc_id"))
+    path = _folder(spark)
+    ST.write_point_reports(rows, path)
+    back = ST.read_point_reports(spark, path, "point long, kind string, place int, name string, value double, bucket long")
+    return back.select("point", "kind", "place", "name", F.round("value", 6).alias("value"))
+
+
 def cluster_point_distance(spark, sf):
     d = R.ordered_points(R.point_distances(_members(spark, sf), _weights(spark, sf)))
     return d.withColumn("d2", F.round("d2", 7))
@@ -241,10 +318,42 @@ def crosstab_file(spark, sf):
     path = _folder(spark)
     from topicloom.operators import crosstab as X
 
-    ST.write_crosstab(X.with_prefix(S.records(spark, sf), "flag:"), path)
+    ST.write_crosstab(S.records(spark, sf), path)
     return X.contingency(ST.read_crosstab(spark, path))
 
 
+def corpus_files(spark, sf):
+    """The corpus tables as files: what a stored id index and corpus say about every document."""
+    from topicloom.plans import pipelines as PL
+
+    made, path = PL.corpus(table(spark, sf, "documents").select("doc_id", "text")), _folder(spark)
+    ST.write_corpus(path, **{k: v for k, v in made.items() if k in ST.CORPUS_TABLES})
+    index, kept = ST.read_corpus(spark, path, "id_index"), ST.read_corpus(spark, path, "corpus")
+    return index.join(kept, "corpus_id").select("doc_id", "corpus_id", F.md5(F.array_join("tokens", " ")).alias("body_md5"))
+
+
+def sorted_rows_file(spark, sf):
+    """Rows of the joint matrix by entropy, their columns by value, as files."""
+    from topicloom.operators import matrix as M
+
+    path = _folder(spark)
+    ST.write_sorted_rows(M.normalize_rows(M.joint(S.doc_tags(spark, sf), S.doc_topics(spark, sf))), path, with_entropy=True)
+    back = spark.read.csv(path, header=True)
+    return back.select("row", F.col("rank").cast("int").alias("rank"), F.col("col").cast("int").alias("col"), F.round(F.col("value").cast("double"), 7).alias("value"), F.round(F.col("entropy").cast("double"), 6).alias("entropy"))
+
+
+def tag_agreement(spark, sf):
+    """Agreement of tags with labelled topics, and the documents that have tags but no topics."""
+    from topicloom.plans import pipelines as PL
+
+    doc_topics = S.weights(spark, sf).withColumnRenamed("doc", "corpus_id")
+    terms = spark.range(64).select(F.col("id").cast("int").alias("topic"), F.concat(F.lit("t"), "id").alias("term"), F.lit(1.0).alias("p"))
+    made = PL.compare_tags(S.doc_tags(spark, sf), doc_topics, terms)
+    agreed = made["harmony"].select("row", "col", F.round("value", 9).alias("value"), "rank")
+    lost = made["ignored"].select(F.col("row").cast("string").alias("row"), F.lit(None).cast("string").alias("col"), F.lit(None).cast("double").alias("value"), F.lit(0).alias("rank"))
+    return agreed.unionByName(lost)
+
+
 def dendrogram_file(spark, sf):
     path = _folder(spark)
     ST.write_dendrogram(order_tree(spark, sf), path)
@@ -284,6 +393,103 @@ QUERIES = {
         cluster_files,
         _sql(_SQL_LINES + "select cut, cluster_id, path, count(*) as n from mem join (select distinct point, doc_id, path from li) using (point) group by cut, cluster_id, path"),
     ),
+    "cluster_dates": (
+        cluster_dates,
+        _sql(
+            _SQL_LINES
+            + "select cut, cluster_id, date, count(*) as n from mem join (select distinct l_orderkey as point,"
+            + " l_orderkey * 10000000 + l_partkey * 100 + l_linenumber as doc_id, strftime(l_shipdate, '%Y/%m') as date from lineitem)"
+            + " using (point) group by cut, cluster_id, date"
+        ),
+    ),
+    "cluster_documents": (
+        cluster_documents,
+        _sql(
+            _SQL_LINES
+            + ", hits as ("
+            + " union all ".join(
+                f"select doc_id as point, '{n}' as rule from documents where regexp_matches(lower(text), '{r}')" for n, r in RULES
+            )
+            + f"""),
+few as (select * from mem where cut in ({', '.join(map(str, REPORT_CUTS))})),
+words as (select point, string_agg(rule, '|' order by rule) as rules from hits group by point),
+dl as (select distinct l_orderkey as point, l_orderkey * 10000000 + l_partkey * 100 + l_linenumber as doc_id, strftime(l_shipdate, '%Y/%m') as date from lineitem),
+far as (
+  select m.cut, m.cluster_id, m.point, sum((coalesce(wt.p, 0) - mt.p) * (coalesce(wt.p, 0) - mt.p)) as d2
+  from few m join mt on mt.cut = m.cut and mt.cluster_id = m.cluster_id left join wt on wt.point = m.point and wt.topic = mt.topic
+  where m.point in (select point from wt) group by m.cut, m.cluster_id, m.point),
+told as (
+  select cut, cluster_id, null as point, topic::varchar as name, p as value from mt where cut in (select cut from few)
+  union all select cut, cluster_id, null, date, count(*) from few join dl using (point) group by cut, cluster_id, date
+  union all select cut, cluster_id, null, version, count(*) from few join (select distinct point, doc_id, version from li) using (point) group by cut, cluster_id, version
+  union all select cut, cluster_id, null, path::varchar, count(*) from few join (select distinct point, doc_id, path from li) using (point) group by cut, cluster_id, path
+  union all select cut, cluster_id, null, rule, count(*) from few join hits using (point) group by cut, cluster_id, rule
+  union all select cut, cluster_id, point, coalesce(rules, ''), d2 from far left join words using (point)
+  union all select cut, cluster_id, point, '+' || doc_id, null from few join (select distinct point, doc_id from li) using (point))
+select cut, cluster_id, point, name, round(value, 6) as value from told"""
+        ),
+    ),
+    "cluster_sizes_file": (cluster_sizes_file, _sql("select cast(cut as double) as cut, cluster_id, size, density from cutn")),
+    "cut_files": (
+        cut_files,
+        _sql(f"""select distinct cast(cut as double) as cut, k.cluster_id, c2.cluster_id as node, n.size, round(n.density, 6) as density, n.parent_id
+from cutn k join chain c using (cluster_id) join chain c2 on c2.point = c.point and c2.level <= c.level
+join nodes n on n.cluster_id = c2.cluster_id where cut = {REPORT_CUTS[1]}"""),
+    ),
+    "trend_files": (
+        trend_files,
+        f"""with {S.SQL_WEIGHTS}, {S.SQL_TAGS},
+releases as (select max(tag) as tag, ts from tags where not contains(tag, 'rc') and not contains(tag, '-') and starts_with(tag, 'v') group by ts),
+rel as (select event_id as doc, coalesce(tag, 'rc') as release from events e asof left join releases r on e.ts >= r.ts where event_id in (select doc from vecs)),
+n as (select release, count(*) as n from rel group by release)
+select cast(topic as int) as topic, concat('T', topic, '-t', topic) as label, release, round(sum(p) / any_value(n), 6) as p
+from rel join w using (doc) join n using (release) group by topic, release""",
+    ),
+    "document_report": (
+        document_report,
+        _sql(""", paid as (select o_orderkey as point, row_number() over (partition by c_nationkey order by o_totalprice desc, o_orderkey desc) as rn
+  from orders join customer on c_custkey = o_custkey),
+asked as (select point from paid where rn = 1),
+way as (select c.point, c.level, c.cluster_id, n.size, n.density, n.left_id, n.right_id, b.size as most
+  from asked join chain c using (point) join nodes n using (cluster_id) join best b on b.point = c.point),
+steps as (select *, lag(cluster_id) over (partition by point order by level) as child from way where size <= most),
+added as (select point, level, case when child is null then cluster_id when child = left_id then right_id else left_id end as added_id from steps),
+facts as (select o_orderkey as point, o_orderpriority as subject, strftime(o_orderdate, '%Y/%m/%d') as date, o_orderstatus as version from orders join asked on o_orderkey = point),
+wt as (select l_orderkey as point, l_linenumber as topic, sum(l_quantity) / sum(sum(l_quantity)) over (partition by l_orderkey) as p
+       from lineitem group by l_orderkey, l_linenumber)
+select point, 'commit' as kind, 0 as place, point::varchar as name, null::double as value from facts
+union all select point, 'subject', 0, subject, null from facts
+union all select point, 'date', 0, date, 1 from facts
+union all select point, 'version', 0, version, 1 from facts
+union all select distinct point, 'file', 0, l_suppkey::varchar, null from lineitem join asked on l_orderkey = point
+union all select point, 'topic', 0, topic::varchar, round(p, 6) from wt join asked using (point)
+union all select point, 'trend', 0, size::varchar, round(density, 6) from way
+union all select point, 'chain', level, cluster_id::varchar, size from steps
+union all select a.point, 'new_point', a.level, c.point::varchar, null from added a join chain c on c.cluster_id = a.added_id"""),
+    ),
+    "corpus_files": (
+        corpus_files,
+        sql_corpus()
+        + """, sl as (select list(term) as s from stops),
+kept as (select corpus_id, array_to_string(list_filter(tokens, lambda t: not coalesce(list_contains(s, t), false)), ' ') as body from uniq, sl)
+select d.doc_id, g.corpus_id, md5(k.body) as body_md5 from docs d join groups g on g.body = d.body join kept k using (corpus_id) where k.body <> ''""",
+    ),
+    "sorted_rows_file": (
+        sorted_rows_file,
+        f"""with {S.SQL_TAG_MATRIX}, q as (select tag, topic, value / sum(value) over (partition by tag) as v from both_p),
+e as (select tag, -sum(v * log2(v)) as entropy from q group by tag)
+select tag as row, cast(row_number() over (partition by tag order by v desc, topic) as int) as rank, cast(topic as int) as col, round(v, 7) as value, round(entropy, 6) as entropy
+from q join e using (tag)""",
+    ),
+    "tag_agreement": (
+        tag_agreement,
+        f"""with {S.SQL_TAG_MATRIX},
+pt as (select tag, sum(t) / (select n from nd) as pt from shared group by tag),
+pp as (select topic, sum(p) / (select n from nd) as pp from shared_w group by topic),
+h as (select tag, concat('T', topic, '-t', topic) as label, 2 * value / (pt + pp) as value from both_p join pt using (tag) join pp using (topic))
+select tag as row, label as col, round(value, 9) as value, cast(row_number() over (partition by tag order by value desc, label) as int) as rank from h
+union all select distinct doc_id::varchar, null, null, 0 from documents where doc_id not in (select doc from vecs)""",
+    ),
     "cluster_point_distance": (
         cluster_point_distance,
         _sql(
@@ -346,8 +552,7 @@ from mem join (select distinct point, doc_id from li) using (point) group by cut
     ),
     "crosstab_file": (
         crosstab_file,
-        """select objective, var, count(*) as n from (select distinct o_orderkey, o_orderstatus as objective, l_returnflag as var
-from orders join lineitem on l_orderkey = o_orderkey) group by objective, var""",
+        f"with {S.SQL_RECORDS} select objective, var, count(*) as n from keys_ join labels_ using (key) group by objective, var",
     ),
     "dendrogram_file": (dendrogram_file, _sql("select * from nodes")),
     "json_records": (

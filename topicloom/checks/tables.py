@@ -9,6 +9,7 @@ from topicloom.checks import table
 from topicloom.functions import keywords as K
 from topicloom.operators import crosstab as X
 from topicloom.operators import matrix as M
+from topicloom.scale import shared_folder
 from topicloom.sources import bug_records as B
 
 # the default rules and a few that the invented prose of the tables can match
@@ -66,17 +67,27 @@ def cross_counts(spark, sf):
     return X.contingency(X.with_prefix(S.records(spark, sf), "brand:"))
 
 
+def _with_header(wide, keys):
+    """The lines and, under null keys, the column names."""
+    names = wide.columns.agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("c")).select(
+        *[F.lit(None).cast("string").alias(k) for k in keys], F.array_join(F.col("c.name"), ",").alias("line")
+    )
+    return wide.lines.select(*[F.col(k).cast("string").alias(k) for k in keys], "line").unionByName(names)
+
+
 def cross_wide(spark, sf):
-    return X.contingency_wide(X.with_prefix(S.records(spark, sf), "flag:"))
+    """Contingency lines of all labels, by total."""
+    return _with_header(X.contingency_wide(S.records(spark, sf)), ["objective"])
 
 
 def cross_binary(spark, sf):
-    return X.binary_wide(X.with_prefix(S.records(spark, sf), "flag:"))
+    """0/1 lines of all labels, in name order."""
+    return _with_header(X.binary_wide(S.records(spark, sf)), ["key", "objective"])
 
 
 def cross_unpivot(spark, sf):
-    back = X.from_wide(X.binary_wide(X.with_prefix(S.records(spark, sf), "line:")))
-    return X.binary_long(back).select("key", "objective", "var", "value")
+    """All labels there and back."""
+    return X.binary_long(X.from_wide(X.binary_wide(S.records(spark, sf)))).select("key", "objective", "var", "value")
 
 
 def cross_rekey(spark, sf):
@@ -172,6 +183,28 @@ def variant_labels(spark, sf):
     return _bug_records(spark, sf).labels
 
 
+def bug_folder(spark, sf):
+    """The same labels from files: a folder with a JSON file of records for every day, and a taxonomy file."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/check-{uuid.uuid4().hex}"
+    entry = F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('": {"type": '), _bug_json(), F.lit("}"))
+    days = table(spark, sf, "events").select(F.concat(F.lit("day"), F.dayofmonth("ts").cast("string")).alias("day"), entry.alias("entry"))
+    # a file is one JSON object
+    files = days.groupBy("day").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ",\n"), F.lit("}")).alias("value"))
+    files.write.partitionBy("day").text(f"{path}/days")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path(f"{path}/bugs"))
+    for found in fs.globStatus(fs_path(f"{path}/days/day=*/part-*")):  # one a day, named by its objective
+        day = found.getPath().getParent().getName().removeprefix("day=")
+        fs.rename(found.getPath(), fs_path(f"{path}/bugs/{day}.json"))
+    classes = _taxonomy(spark, sf).groupBy("class", "subclass").agg(F.collect_list("error").alias("errors"))
+    nested = classes.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("subclass", "errors"))).alias("m"))
+    nested.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("class", "m")))).alias("value")).write.text(f"{path}/taxonomy")
+    return B.to_records(B.fixes(B.read_bug_files(spark, f"{path}/bugs")), B.read_taxonomy(spark, f"{path}/taxonomy")).labels
+
+
 def bug_error_classes(spark, sf):
     bugs = X.holding(_bug_records(spark, sf), "fixclass:bug")
     return X.contingency(X.rekey(bugs, "errorclass:", "trigger:"))
@@ -260,19 +293,22 @@ select objective, var, count(*) as n from keys_ join l using (key) group by obje
     ),
     "cross_wide": (
         cross_wide,
-        f"""with {S.SQL_RECORDS}, l as ({_sql_named('flag:')})
-select objective, count(*) filter (var = 'A') as "A", count(*) filter (var = 'N') as "N", count(*) filter (var = 'R') as "R"
-from keys_ left join l using (key) group by objective""",
+        f"""with {S.SQL_RECORDS}, c as (select var, count(*) as n from labels_ group by var),
+n as (select objective, var, count(*) as k from keys_ join labels_ using (key) group by objective, var)
+select objective, string_agg(coalesce(k, 0)::varchar, ',' order by c.n desc, c.var) as line
+from (select distinct objective from keys_) cross join c left join n using (objective, var) group by objective
+union all select null, string_agg(var, ',' order by n desc, var) from c""",
     ),
     "cross_binary": (
         cross_binary,
-        f"""with {S.SQL_RECORDS}, l as ({_sql_named('flag:')})
-select key, objective, cast(count(*) filter (var = 'A') as int) as "A", cast(count(*) filter (var = 'N') as int) as "N",
-       cast(count(*) filter (var = 'R') as int) as "R" from keys_ left join l using (key) group by key, objective""",
+        f"""with {S.SQL_RECORDS}, c as (select distinct var from labels_)
+select key::varchar as key, objective, string_agg((l.var is not null)::int::varchar, ',' order by c.var) as line
+from keys_ cross join c left join labels_ l using (key, var) group by key, objective
+union all select null, null, string_agg(var, ',' order by var) from c""",
     ),
     "cross_unpivot": (
         cross_unpivot,
-        f"with {S.SQL_RECORDS}, l as ({_sql_named('line:')}) select key, objective, var, cast(1 as int) as value from keys_ join l using (key)",
+        f"with {S.SQL_RECORDS} select key, objective, var, cast(1 as int) as value from keys_ join labels_ using (key)",
     ),
     "cross_rekey": (
         cross_rekey,
@@ -316,6 +352,7 @@ select s.source, r.rule, count(distinct h.doc_id) as n from sources s cross join
 left join hits h on h.source = s.source and h.rule = r.rule group by s.source, r.rule""",
     ),
     "variant_labels": (variant_labels, f"with {SQL_BUGS} select key, var from blabels"),
+    "bug_folder": (bug_folder, f"with {SQL_BUGS} select key, var from blabels"),
     "bug_error_classes": (
         bug_error_classes,
         f"""with {SQL_BUGS}

@@ -2,18 +2,19 @@
 
 A record set is a key table ``(key, objective)`` and a label table ``(key, var)``; keys and labels are
 distinct. A record without labels keeps its key and counts as a row of zeros.
+
+A wide table has one column per label, however many there are. It is a table of lines: the places of a row's cells,
+sorted, become its text in one pass, with as many zeros between them as the places say. No plan has a column per label.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 5_000  # of one wide table; more labels make more tables
+from topicloom.scale import ordered_index
 
 
 class Records(NamedTuple):
@@ -79,41 +80,57 @@ def counts_with_total(records: Records) -> DataFrame:
     return both.orderBy("_last", F.desc("n"), "var").drop("_last")
 
 
-def column_groups(names: DataFrame, order: list) -> Iterator[list[str]]:
-    """The first column of ``names`` in order, in lists of bounded length; one empty list if there are none."""
-    rows = names.orderBy(*order).toLocalIterator()
-    part = [r[0] for r in islice(rows, MAX_COLUMNS)]
-    while True:
-        yield part
-        if not (part := [r[0] for r in islice(rows, MAX_COLUMNS)]):
-            return
+def in_places(names: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``(at, name)``: dense places of the columns ``names(name, ...)`` in the given order."""
+    return ordered_index(names, order, "at").select("at", "name")
+
 
+def by_count(records: Records) -> DataFrame:
+    """Places of the labels, by total descending."""
+    return in_places(label_counts(records).withColumnRenamed("var", "name"), [F.desc("n"), "name"])
 
-def by_count(records: Records) -> Iterator[list[str]]:
-    return column_groups(label_counts(records), [F.desc("n"), "var"])
 
+def by_name(records: Records) -> DataFrame:
+    """Places of the labels in name order."""
+    return in_places(records.labels.select(F.col("var").alias("name")).distinct(), ["name"])
 
-def by_name(records: Records) -> Iterator[list[str]]:
-    return column_groups(records.labels.select("var").distinct(), ["var"])
 
+class Wide(NamedTuple):
+    columns: DataFrame  # (at, name)
+    lines: DataFrame  # (key columns, line): the cells of a row in column order, joined by commas
 
-def contingency_wide(records: Records, names: list[str] | None = None) -> DataFrame:
-    """One row per objective, one column per label, columns by total descending.
 
-    ``names`` are the labels to show; without them the first group of ``by_count``, which is all unless there are
-    more than MAX_COLUMNS.
+def wide(rows: DataFrame, keys: list[str], cells: DataFrame, columns: DataFrame, empty: str = "0") -> Wide:
+    """Lines of all ``rows(keys)`` from ``cells(keys, name, value)``; a cell that is not there is ``empty``.
+
+    One shuffle of the cells. A row's cells are together in memory, as its line is, and no more than there are columns.
     """
-    names = next(by_count(records)) if names is None else names
-    counts = contingency(records).groupBy("objective").pivot("var", names).agg(F.first("n"))
-    every = records.keys.select("objective").distinct().join(counts, "objective", "left")
-    return every.fillna(0, names)
+    width = columns.count()
+    placed = cells.join(columns, "name").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", F.col("value").cast("string").alias("value")))).alias("_cells"))
+    full = rows.select(*keys).join(placed, keys, "left").withColumn("_cells", F.coalesce("_cells", F.array()))
+
+    def gap(count: Column) -> Column:
+        return F.repeat(F.lit(f",{empty}"), count.cast("int"))
+
+    def cell(c: Column, i: Column) -> Column:
+        before = F.when(i == 0, -1).otherwise(F.get(F.col("_cells.at"), (i - 1).cast("int")))
+        return F.concat(gap(c["at"] - before - 1), F.lit(","), c["value"])
+
+    last = F.coalesce(F.element_at(F.col("_cells.at"), F.when(F.size("_cells") > 0, -1).otherwise(None)), F.lit(-1))
+    text = F.concat(F.array_join(F.transform("_cells", cell), ""), gap(F.lit(width - 1) - last))
+    return Wide(columns, full.select(*keys, F.substring(text, 2, 2**31 - 1).alias("line")))
+
+
+def contingency_wide(records: Records) -> Wide:
+    """One line per objective with the counts of all labels, columns by total descending."""
+    cells = contingency(records).select("objective", F.col("var").alias("name"), F.col("n").alias("value"))
+    return wide(records.keys.select("objective").distinct(), ["objective"], cells, by_count(records))
 
 
-def binary_wide(records: Records, names: list[str] | None = None) -> DataFrame:
-    """One 0/1 row per record, columns in name order; ``names`` as in :func:`contingency_wide`, by ``by_name``."""
-    names = next(by_name(records)) if names is None else names
-    cells = records.labels.groupBy("key").pivot("var", names).agg(F.lit(1))
-    return records.keys.join(cells, "key", "left").fillna(0, names)
+def binary_wide(records: Records) -> Wide:
+    """One 0/1 line per record, columns in name order."""
+    cells = records.keys.join(records.labels, "key").select("key", "objective", F.col("var").alias("name"), F.lit(1).alias("value"))
+    return wide(records.keys, ["key", "objective"], cells, by_name(records))
 
 
 def binary_long(records: Records) -> DataFrame:
@@ -121,12 +138,13 @@ def binary_long(records: Records) -> DataFrame:
     return records.keys.join(records.labels, "key").withColumn("value", F.lit(1))
 
 
-def from_wide(wide: DataFrame, key: str = "key", objective: str = "objective") -> Records:
-    """Back from a 0/1 table."""
-    names = [c for c in wide.columns if c not in (key, objective)]
-    cells = wide.unpivot([key, objective], names, "var", "value").filter(F.col("value").cast("int") == 1)
-    keys = wide.select(F.col(key).alias("key"), F.col(objective).alias("objective"))
-    return Records(keys, cells.select(F.col(key).alias("key"), "var"))
+def from_wide(table: Wide) -> Records:
+    """Back from a 0/1 table. Lines are split where they lie, only cells that are not 0 move."""
+    split = table.lines.select("key", "objective", F.split("line", ",").alias("_cells"))
+    cells = split.select("key", F.posexplode("_cells").alias("at", "value")).where("value <> '0' and value <> ''")
+    names = table.columns.select(F.col("at").cast("long").alias("at"), F.col("name").alias("var"))
+    labels = cells.join(names, "at").select("key", "var")
+    return Records(table.lines.select("key", "objective"), labels)
 
 
 def taxonomy_listing(taxonomy: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from topicloom.operators import topics as W
 from topicloom.operators import tree as G
 from topicloom.scale import checkpoint
 from topicloom.sources import commits as S
+from topicloom.sources import tables as ST
 from topicloom.sources import text_files as TF
 
 Tables = dict[str, DataFrame]
@@ -159,6 +160,14 @@ def topic_trend(
     return shares
 
 
+def save_trend(trend: Tables, topic_terms: DataFrame, tags: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Shares by release, in the order of release, and by directory, a folder for each topic named by its label."""
+    labels = W.topic_labels(topic_terms)
+    releases = tags.groupBy(F.col("tag").alias("release")).agg(F.min("ts").alias("place"))
+    ST.write_trend(trend["by_release"], "release", labels, f"{path}/version", releases, mode)
+    ST.write_trend(trend["by_directory"], "dir", labels, f"{path}/directory", None, mode)
+
+
 def compare_tags(doc_tags: DataFrame, doc_topics: DataFrame, topic_terms: DataFrame) -> Tables:
     """Agreement of manual tags ``(row, col, value)`` with topics; documents on one side only are listed."""
     labels = W.topic_labels(topic_terms)
@@ -203,6 +212,12 @@ def cut(nodes: DataFrame, g: float) -> Tables:
     return {"summary": G.by_size(G.cut(nodes, g)), "subtrees": G.under_cuts(nodes, [g], only_points=False)}
 
 
+def save_cut(nodes: DataFrame, g: float, path: str, mode: str = "errorifexists") -> None:
+    """Cut the hierarchy and write a folder for each cut cluster."""
+    made = cut(nodes, g)
+    ST.write_cut(made["summary"], made["subtrees"], nodes, path, mode)
+
+
 def cluster_metrics(
     nodes: DataFrame,
     doc_topics: DataFrame,
@@ -212,33 +227,51 @@ def cluster_metrics(
     rules: K.Rules = K.DEFAULT_RULES,
     cuts: Iterable[float] | None = None,
 ) -> Tables:
-    """Report of every cluster of a sweep of cuts. ``commits(doc_id, version, text)``, ``files(doc_id, path)``."""
+    """Report of every cluster of a sweep of cuts. ``commits(doc_id, ts, version, text)``, ``files(doc_id, path)``.
+
+    ``documents`` are the lines of one JSON document per cluster; :func:`save_cluster_metrics` writes them.
+    """
     cuts = list(cuts) if cuts is not None else G.sweep()
     members = checkpoint(G.under_cuts(nodes, cuts).withColumnRenamed("node", "point"))
     weights = doc_topics.withColumnRenamed("corpus_id", "point")
     index = id_index.withColumnRenamed("corpus_id", "point")
     point_rules = checkpoint(R.keyword_points(index, commits, rules))
+    dates = commits.select("doc_id", T.slash_date(F.col("ts")).alias("date"))
+    versions, paths = commits.select("doc_id", "version"), files.select("doc_id", "path")
+    report = checkpoint(R.report(members, weights, index, versions, dates, paths, point_rules))
+    distances, originals = checkpoint(R.point_distances(members, weights)), R.originals(members, index)
+    sizes = checkpoint(G.cut_sweep(nodes, cuts))
     return {
-        "sizes": G.cut_sweep(nodes, cuts),
-        "report": R.report(members, weights, index, commits.select("doc_id", "version"), files.select("doc_id", "path"), point_rules),
-        "points": R.ordered_points(R.point_distances(members, weights)),
-        "originals": R.originals(members, index),
+        "sizes": sizes,
+        "report": report,
+        "points": R.ordered_points(distances),
+        "originals": originals,
         "keywords": K.match_groups(commits.select("doc_id", "text"), rules),
+        "documents": R.documents(sizes, report, distances, originals.select(*R.KEY, "point", "doc_id"), point_rules),
     }
 
 
+def save_cluster_metrics(metrics: Tables, path: str, mode: str = "errorifexists") -> None:
+    ST.write_cluster_documents(metrics["documents"], metrics["sizes"], path, mode)
+
+
 def similar_documents(
     nodes: DataFrame, doc_topics: DataFrame, id_index: DataFrame, commits: DataFrame, files: DataFrame, doc_ids: DataFrame | None = None
 ) -> Tables:
-    """The best cluster round documents, built up level by level, for all points or the asked ``doc_ids(doc_id)``."""
+    """The best cluster round documents, built up level by level, for all points or the asked ``doc_ids(doc_id)``.
+
+    For asked documents only the rows on their way to the root are laid out (see :func:`topicloom.operators.tree.ancestors`).
+    """
     index = id_index.withColumnRenamed("corpus_id", "point")
-    asked = index.join(doc_ids, "doc_id", "left_semi").select("point").distinct() if doc_ids is not None else None
+    asked = checkpoint(index.join(doc_ids, "doc_id", "left_semi").select("point").distinct()) if doc_ids is not None else None
     chain = checkpoint(G.incremental_chain(nodes, asked))
+    if asked is not None:
+        index = index.join(asked, "point", "left_semi")
     facts = R.point_facts(index, commits)
     topics = doc_topics.withColumnRenamed("corpus_id", "point")
-    tables = {"chain": chain, "trend": G.density_trend(nodes)}
+    tables = {"chain": chain, "trend": G.density_trend(nodes, asked)}
     if asked is not None:
-        facts, topics = facts.join(asked, "point", "left_semi"), topics.join(asked, "point", "left_semi")
+        topics = topics.join(asked, "point", "left_semi")
         # the new points of every level, written out only for the points asked for
         below = G.points_below(nodes, chain.select(F.col("added_id").alias("cluster_id")))
         tables["new_points"] = chain.select("point", "level", F.col("added_id").alias("cluster_id")).join(
@@ -248,6 +281,16 @@ def similar_documents(
     return {**tables, "facts": facts, "files": own_files, "topics": topics}
 
 
+def document_report(
+    nodes: DataFrame, doc_topics: DataFrame, id_index: DataFrame, commits: DataFrame, files: DataFrame, doc_ids: DataFrame
+) -> DataFrame:
+    """``(point, kind, place, name, value)``: everything about the asked documents and their best clusters, an entry per row.
+
+    :func:`topicloom.sources.tables.write_point_reports` writes it.
+    """
+    return R.document_rows(similar_documents(nodes, doc_topics, id_index, commits, files, doc_ids))
+
+
 # --- labelled records -----------------------------------------------------------------------------------------
 
 # The directories whose levels get tables of their own, and the classes reported with locations.

@@ -4,6 +4,9 @@ Each text is encoded by both tokenizers. Byte offsets where tokens of both end c
 that cover the same bytes; the two tokens that end at a cut are linked. A link's weight is how often its pair of ids
 is linked in the whole corpus.
 
+Neither kind of tokenizer merges across a single space between two other characters, so a text is the sequence of its
+words, each with the space before it: words are encoded and aligned once per task and texts put together from them.
+
 Two tokens that end together, read backwards, agree until the shorter one ends, so the shorter is a suffix of the
 longer. The number of different pairs is therefore at most the number of bytes in both vocabularies
 (:func:`most_pairs`), whatever the size of the corpus, and a table of pairs may be sent to every task.
@@ -12,7 +15,9 @@ longer. The number of different pairs is therefore at most the number of bytes i
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,12 +31,19 @@ from pyspark.sql import types as T
 from topicloom.llm.batches import slices
 from topicloom.scale import checkpoint, ship_with_tasks
 
-SLICE_BYTES = 1 << 20  # text encoded at a time; encodings take about a hundred bytes a token
+SLICE_BYTES = 1 << 20  # text in work at a time; encodings take about a hundred bytes a token
+KEPT_WORDS = 400_000  # words that a task remembers before it starts anew
+
+# A space between two characters that are neither white space nor the mark that stands for a space in pieces.
+BETWEEN_WORDS = re.compile("(?<=[^\\s\u2581]) (?=[^\\s\u2581])")
+ALONE = re.compile("^[\\s\u2581]|[\\s\u2581]\\Z|^\\Z")  # begin or end of a text that is no such place
+WORDS_AT_ONCE = 4096
+WEIGHED_ROWS = 256  # documents whose links are looked up at a time
 
 # Bytes that a byte-level vocabulary writes as themselves; the others are U+0100 and up, in order.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-_LOADED: dict[int, tuple[Callable, pa.Array]] = {}
+_LOADED: dict[int, tuple[Callable, pa.Array, bool]] = {}
 
 
 @dataclass(frozen=True)
@@ -49,8 +61,11 @@ class Tokenizer:
         with open(path, "rb") as f:
             return Tokenizer(kind, f.read())
 
-    def load(self) -> tuple[Callable[[list[str]], list[list[int]]], pa.Array]:
-        """Function from texts to id lists, and the bytes of every id; made once in a process."""
+    def load(self) -> tuple[Callable[[list[str]], list[list[int]]], pa.Array, bool]:
+        """Function from texts to id lists, the bytes of every id, and whether words can be encoded one by one.
+
+        Made once in a process.
+        """
         key = hash((self.kind, self.content))
         if key not in _LOADED:
             _LOADED[key] = (_byte_level if self.kind == "byte_level" else _pieces)(self.content)
@@ -74,7 +89,10 @@ def _byte_level(content: bytes):
     def encode(texts):
         return [e.ids for e in model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
 
-    return encode, pa.array(written, pa.large_binary())
+    made = json.loads(content)
+    plain = {"type": "ByteLevel", "use_regex": True}
+    by_word = not made.get("normalizer") and plain.items() <= ({"use_regex": True} | (made.get("pre_tokenizer") or {})).items()
+    return encode, pa.array(written, pa.large_binary()), by_word
 
 
 def _pieces(content: bytes):
@@ -86,7 +104,10 @@ def _pieces(content: bytes):
         piece = model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    return lambda texts: model.encode(texts, num_threads=1), pa.array(map(spelled, range(model.get_piece_size())), pa.large_binary())
+    written = [spelled(i) for i in range(model.get_piece_size())]
+    inside = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+    keeps_spaces = b"".join(written[i] for i in model.encode("a  b c ")) == b" a  b c "
+    return lambda texts: model.encode(texts, num_threads=1), pa.array(written, pa.large_binary()), keeps_spaces and not inside
 
 
 def most_pairs(a: Tokenizer, b: Tokenizer) -> int:
@@ -153,38 +174,105 @@ class _Coded:
 
 def _encode(tokenizer: Tokenizer, texts: list[str], given: list[bytes]) -> tuple[_Coded, np.ndarray]:
     """Tokens of the texts, and whether each text's tokens spell its bytes ``given``."""
-    encode, written = tokenizer.load()
+    encode, written, _ = tokenizer.load()
     lists = encode(texts)
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids = np.fromiter((i for ids in lists for i in ids), np.int32, int(counts.sum()))
-    spelled = written.take(pa.array(ids))
-    _, places, data = spelled.buffers()
-    ends = np.frombuffer(places, np.int64)[1 : len(ids) + 1] if len(ids) else np.zeros(0, np.int64)
-    whole, last = data.to_pybytes() if data else b"", np.concatenate([[0], ends])[np.cumsum(counts)].tolist()
+    ids = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in lists)])
+    whole, ends = _spelled(written, ids)
+    last = np.concatenate([[0], ends])[np.cumsum(counts)].tolist()
     same = [whole[x:y] == g for x, y, g in zip([0, *last], last, given)]
     return _Coded(ids, ends, counts), np.array(same, bool)
 
 
-def _aligned(texts: list[str], a: Tokenizer, b: Tokenizer) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
-    given = [b" " + t.encode() if t else b"" for t in texts]
-    held = [t if t else "" for t in texts]
-    (coded_a, whole_a), (coded_b, whole_b) = (_encode(t, held, given) for t in (a, b))
-    keep = whole_a & whole_b & np.fromiter(map(bool, held), bool, len(held))
+def _spelled(written: pa.Array, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All bytes of the tokens, and where each token ends."""
+    _, places, data = written.take(pa.array(ids)).buffers()
+    ends = np.frombuffer(places, np.int64)[1 : len(ids) + 1] if len(ids) else np.zeros(0, np.int64)
+    return data.to_pybytes() if data else b"", ends
+
+
+def _encode_words(tokenizer: Tokenizer, words: list[str], given: list[bytes]) -> tuple[_Coded, np.ndarray]:
+    """As :func:`_encode`, for words that may stand side by side: few long texts are faster than many short ones."""
+    encode, written, _ = tokenizer.load()
+    lists = encode([" ".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)])
+    ids = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in lists)])
+    whole, ends = _spelled(written, ids)
+    word_ends = np.cumsum([len(g) for g in given], dtype=np.int64)
+    if whole != b"".join(given):
+        return _encode(tokenizer, words, given)  # some word is not spelled exactly
+    counts = np.diff(np.searchsorted(ends, word_ends, side="right"), prepend=0)
+    return _Coded(ids, ends, counts), np.ones(len(words), bool)
+
+
+@dataclass
+class _Lists:
+    """Lists one after the other in ``flat``; list i begins at ``starts[i]``."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def of(flat: np.ndarray, counts: np.ndarray) -> _Lists:
+        return _Lists(flat.astype(np.int32), np.concatenate([[0], np.cumsum(counts)]))
+
+    def append(self, other: _Lists) -> _Lists:
+        return _Lists(np.concatenate([self.flat, other.flat]), np.concatenate([self.starts, other.starts[1:] + self.starts[-1]]))
+
+    def joined(self, of: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Lists made of ``counts[k]`` of the lists ``of`` each."""
+        lengths = np.diff(self.starts)[of]
+        before = np.cumsum(lengths) - lengths
+        flat = self.flat[np.repeat(self.starts[:-1][of] - before, lengths) + np.arange(lengths.sum())]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+
+
+def _aligned(words: list[str], a: Tokenizer, b: Tokenizer, encode: Callable) -> tuple[list[_Lists], np.ndarray]:
+    """``ids_a, ids_b, sizes_a, sizes_b`` of each word (behind a space), and whether both tokenizers spell it exactly."""
+    given = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
+    (coded_a, whole_a), (coded_b, whole_b) = (encode(t, words, given) for t in (a, b))
+    keep = whole_a & whole_b
     coded_a, coded_b = coded_a.only(keep, a.load()[1]), coded_b.only(keep, b.load()[1])
-    at_a, at_b = common_ends(coded_a.ends, coded_b.ends)  # texts end in both lists, so no group spans two of them
-    group_text = np.searchsorted(np.cumsum(coded_a.counts), at_a, side="right")
-    groups = np.bincount(group_text, minlength=len(texts))
-
-    def listed(values, counts):
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
-
-    return (
-        listed(coded_a.ids, coded_a.counts),
-        listed(coded_b.ids, coded_b.counts),
-        listed(np.diff(at_a, prepend=-1), groups),
-        listed(np.diff(at_b, prepend=-1), groups),
-    )
+    at_a, at_b = common_ends(coded_a.ends, coded_b.ends)  # words end in both lists, so no group spans two of them
+    groups = np.bincount(np.searchsorted(np.cumsum(coded_a.counts), at_a, side="right"), minlength=len(words))
+    made = [(coded_a.ids, coded_a.counts), (coded_b.ids, coded_b.counts), (np.diff(at_a, prepend=-1), groups), (np.diff(at_b, prepend=-1), groups)]
+    return [_Lists.of(*m) for m in made], keep
+
+
+class _Aligner:
+    """Aligns texts word by word and remembers the words."""
+
+    def __init__(self, a: Tokenizer, b: Tokenizer):
+        self.a, self.b = a, b
+        self.by_word = a.load()[2] and b.load()[2]
+        self.split = BETWEEN_WORDS.split if self.by_word else lambda text: [text]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.lists, self.whole = [_Lists(np.zeros(0, np.int32), np.zeros(1, np.int64)) for _ in range(4)], np.zeros(0, bool)
+
+    def __call__(self, texts: list[str | None]) -> list[pa.Array]:
+        """``ids_a, ids_b, sizes_a, sizes_b``, empty where a text is null, empty or not spelled exactly."""
+        words = [self.split(t) if t else [] for t in texts]
+        flat = [w for ws in words for w in ws]
+        if len(self.place) > KEPT_WORDS:
+            self.forget()
+        unknown = dict.fromkeys(w for w in flat if w not in self.place)
+        alone = [w for w in unknown if ALONE.search(w)] if self.by_word else list(unknown)
+        for new, encode in ((list(unknown.keys() - set(alone)), _encode_words), (alone, _encode)):
+            if not new:
+                continue
+            found, whole = _aligned(new, self.a, self.b, encode)
+            self.place.update(zip(new, range(len(self.whole), len(self.whole) + len(new)), strict=True))
+            self.lists, self.whole = [x.append(y) for x, y in zip(self.lists, found, strict=True)], np.concatenate([self.whole, whole])
+        of = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.repeat(np.arange(len(words)), counts)
+        good = np.bincount(text[~self.whole[of]], minlength=len(words)) == 0
+        if not good.all():
+            of, counts = of[good[text]], np.where(good, counts, 0)
+        return [x.joined(of, counts) for x in self.lists]
 
 
 GROUPS = "ids_a array<int>, ids_b array<int>, sizes_a array<int>, sizes_b array<int>"
@@ -204,9 +292,10 @@ def align(documents: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast((a, b))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _Aligner(*shared.value)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                made = _aligned(part.column("text").to_pylist(), *shared.value)
+                made = aligner(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("row"), *made], ["row", *new])
 
     row = rows.schema["row"].dataType.simpleString() if not carried else None
@@ -239,6 +328,27 @@ def _part_rows(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.Recor
             yield batch.slice(x, y - x)
 
 
+class _Counter:
+    """How often each pair was seen in a task; never more of them than :func:`most_pairs`."""
+
+    def __init__(self):
+        self.pairs, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, pairs: np.ndarray) -> None:
+        new, n = np.unique(pairs, return_counts=True)
+        self.pairs, where = np.unique(np.concatenate([self.pairs, new]), return_inverse=True)
+        self.counts = np.bincount(where, np.concatenate([self.counts, n]), len(self.pairs)).astype(np.int64)
+
+
+def _summed_pairs(partial: DataFrame) -> DataFrame:
+    """``(a, b, n, best)`` of partial counts ``(pair, n)``; ``best``: no other a is linked to this b more often."""
+    summed = partial.groupBy("pair").agg(F.sum("n").alias("n"))
+    low = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
+    counts = checkpoint(summed.select(F.shiftright("pair", 32).cast("int").alias("a"), low.cast("int").alias("b"), "n"))
+    most = counts.groupBy("b").agg(F.max("n").alias("most"))
+    return counts.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """``(a, b, n, best)``: how often ids are linked, and whether no other a is linked to this b more often.
 
@@ -246,20 +356,14 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        seen = _Counter()
         for batch in batches:
             for part in _part_rows(batch):
-                new, n = np.unique(_links(part)[0], return_counts=True)
-                pairs, where = np.unique(np.concatenate([pairs, new]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, n]), len(pairs)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+                seen.add(_links(part)[0])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.pairs), pa.array(seen.counts)], ["pair", "n"])
 
     lists = aligned.select("ids_a", "ids_b", "sizes_a", "sizes_b")
-    summed = lists.mapInArrow(task, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    low = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
-    counts = checkpoint(summed.select(F.shiftright("pair", 32).cast("int").alias("a"), low.cast("int").alias("b"), "n"))
-    most = counts.groupBy("b").agg(F.max("n").alias("most"))
-    return counts.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
+    return _summed_pairs(lists.mapInArrow(task, "pair long, n long"))
 
 
 def _digests(batch: pa.RecordBatch, words: tuple[pa.Array, int]) -> list[str]:
@@ -296,31 +400,70 @@ def digest_links(documents: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
     ``n_best`` counts links whose pair is the one most often linked to its b id (ties included), ``count_sum`` adds
     up the corpus counts of the links. Texts without tokens (see :func:`align`) have zeros and an empty digest. An empty
     table gives an empty table.
+
+    Texts are encoded once: a task writes each document's links, and behind them the counts of the pairs it has met. A second
+    pass looks the corpus counts up.
     """
-    aligned = checkpoint(align(documents.select("doc_id", "text"), a, b))
-    table = pair_counts(aligned).toArrow()  # at most most_pairs(a, b) rows
-    pairs = table["a"].to_numpy().astype(np.int64) << 32 | table["b"].to_numpy()
-    order = np.argsort(pairs)
-    known = (pairs[order], table["n"].to_numpy()[order], table["best"].to_numpy()[order])
-    shared = documents.sparkSession.sparkContext.broadcast((*known, a, b))
+    shared = documents.sparkSession.sparkContext.broadcast((a, b))
+    names = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "pair", "n"]
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, n, best, a, b = shared.value
-        words = _words(a, b)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = shared.value
+        aligner, seen, words = _Aligner(a, b), _Counter(), _words(a, b)
+        wide = _multiplier(b)
+        ids = pa.null()
         for batch in batches:
-            for part in _part_rows(batch):
-                links, starts = _links(part)
-                at = np.searchsorted(pairs, links)
-                sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[starts] for x in (best, n)]
-                n_a, n_b = (pc.list_value_length(part.column(c)).cast(pa.int64()) for c in ("ids_a", "ids_b"))
-                groups = np.diff(starts)
-                columns = [n_a, n_b, groups, groups, *(np.diff(s) for s in sums), _digests(part, words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names)
-
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    counts = ", ".join(f"{c} long" for c in names[1:-1])
-    return aligned.mapInArrow(task, f"doc_id {kind}, {counts}, groups_sha256 string")
+            for part in slices(batch, "text", SLICE_BYTES):
+                ids = part.column("doc_id").type
+                made = pa.RecordBatch.from_arrays(aligner(part.column("text").to_pylist()), ["ids_a", "ids_b", "sizes_a", "sizes_b"])
+                links, starts = _links(made)
+                seen.add(links)
+                n_a, n_b = (pc.list_value_length(made.column(c)).cast(pa.int64()) for c in ("ids_a", "ids_b"))
+                packed = ((links >> 32) * wide + (links & 0xFFFFFFFF)).astype(np.int64)
+                listed = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(packed))
+                none = pa.nulls(made.num_rows, pa.int64())
+                columns = [part.column("doc_id"), n_a, n_b, pa.array(np.diff(starts)), pa.array(_digests(made, words), pa.string()), listed, none, none]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        count = len(seen.pairs)
+        blank = [pa.nulls(count, t) for t in (ids, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))]
+        if count:
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(seen.pairs), pa.array(seen.counts)], names)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, n, best = known.value
+        for batch in batches:
+            links, starts = _flat(batch.column(batch.schema.get_field_index("links")))
+            sums = [np.zeros(len(starts) - 1, np.int64) for _ in (best, n)]
+            for at in range(0, len(starts) - 1, WEIGHED_ROWS):
+                edges = starts[at : at + WEIGHED_ROWS + 1]
+                place = np.searchsorted(pairs, links[edges[0] : edges[-1]])
+                for total, x in zip(sums, (best, n), strict=True):
+                    running = np.concatenate([[0], np.cumsum(x[place], dtype=np.int64)])
+                    total[at : at + WEIGHED_ROWS] = np.diff(running[edges - edges[0]])
+            given = {c: batch.column(batch.schema.get_field_index(c)) for c in names[:5]}
+            told = given | {"n_links": given["n_groups"], "n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1])}
+            yield pa.RecordBatch.from_arrays([told[c] for c in result], result)
+
+    counts = "n_a long, n_b long, n_groups long"
+    made = checkpoint(
+        documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+            encode, f"doc_id {kind}, {counts}, groups_sha256 string, links array<long>, pair long, n long"
+        )
+    )
+    table = _summed_pairs(made.where("pair is not null").select("pair", "n")).toArrow()  # at most most_pairs(a, b) rows
+    pairs = table["a"].to_numpy().astype(np.int64) * _multiplier(b) + table["b"].to_numpy()
+    order = np.argsort(pairs)
+    known = documents.sparkSession.sparkContext.broadcast((pairs[order], table["n"].to_numpy()[order], table["best"].to_numpy()[order]))
+    result = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return made.where("pair is null").select(*names[:6]).mapInArrow(
+        weigh, f"doc_id {kind}, {counts}, n_links long, n_best long, count_sum long, groups_sha256 string"
+    )
+
+
+def _multiplier(b: Tokenizer) -> int:
+    """Pairs are written as a x this + b, which keeps the numbers short on disk."""
+    return len(b.load()[1])
 
 
 ship_with_tasks(__name__)

@@ -74,7 +74,7 @@ def cluster_dates(spark, sf):
     return R.frequencies(_members(spark, sf), index, facts, "date")
 
 
-REPORT_CUTS = [CUTS[1], CUTS[3], CUTS[6]]
+REPORT_CUTS = [CUTS[1], CUTS[5], CUTS[6]]
 
 
 def cluster_documents(spark, sf):
@@ -91,7 +91,7 @@ def cluster_documents(spark, sf):
     ST.write_cluster_documents(R.documents(sizes, told, near, R.originals(members, index), point_rules), sizes, path)
     e = ST.read_cluster_documents(spark, path).select("cut", "cluster_id", "entry.*")
     name = F.coalesce("topic", "date", "version", "file", "keyword", F.concat(F.lit("+"), "commit"), F.array_join("keywords", "|"))
-    value = F.round(F.coalesce("value", "distance"), 6)
+    value = F.round(F.coalesce("value", "distance"), 8)
     return e.select("cut", "cluster_id", "point", name.alias("name"), value.alias("value"))
 
 
@@ -426,7 +426,7 @@ told as (
   union all select cut, cluster_id, null, rule, count(*) from few join hits using (point) group by cut, cluster_id, rule
   union all select cut, cluster_id, point, coalesce(rules, ''), d2 from far left join words using (point)
   union all select cut, cluster_id, point, '+' || doc_id, null from few join (select distinct point, doc_id from li) using (point))
-select cut, cluster_id, point, name, round(value, 6) as value from told"""
+select cut, cluster_id, point, name, round(value, 8) as value from told"""
         ),
     ),
     "cluster_sizes_file": (cluster_sizes_file, _sql("select cast(cut as double) as cut, cluster_id, size, density from cutn")),

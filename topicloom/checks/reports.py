@@ -74,7 +74,7 @@ def cluster_dates(spark, sf):
     return R.frequencies(_members(spark, sf), index, facts, "date")
 
 
-REPORT_CUTS = [CUTS[1], CUTS[5], CUTS[6]]
+REPORT_CUTS = [CUTS[1], CUTS[6]]
 
 
 def cluster_documents(spark, sf):
@@ -91,7 +91,7 @@ def cluster_documents(spark, sf):
     ST.write_cluster_documents(R.documents(sizes, told, near, R.originals(members, index), point_rules), sizes, path)
     e = ST.read_cluster_documents(spark, path).select("cut", "cluster_id", "entry.*")
     name = F.coalesce("topic", "date", "version", "file", "keyword", F.concat(F.lit("+"), "commit"), F.array_join("keywords", "|"))
-    value = F.round(F.coalesce("value", "distance"), 8)
+    value = F.round(F.coalesce("value", "distance") + 1e-11, 8)  # a digit that is exactly a half goes up in every engine
     return e.select("cut", "cluster_id", "point", name.alias("name"), value.alias("value"))
 
 
@@ -106,8 +106,8 @@ def cluster_sizes_file(spark, sf):
 def cut_files(spark, sf):
     """The subtree of every cut cluster, a folder each, written and read back."""
     nodes, path = order_tree(spark, sf), _folder(spark)
-    made = G.under_cuts(nodes, [REPORT_CUTS[1]], only_points=False)
-    ST.write_cut(G.by_size(G.cut(nodes, REPORT_CUTS[1])), made, nodes, path)
+    made = G.under_cuts(nodes, [REPORT_CUTS[0]], only_points=False)
+    ST.write_cut(G.by_size(G.cut(nodes, REPORT_CUTS[0])), made, nodes, path)
     return ST.read_cut(spark, path).select("cut", "cluster_id", "node", "size", F.round("density", 6).alias("density"), "parent_id")
 
 
@@ -426,7 +426,7 @@ told as (
   union all select cut, cluster_id, null, rule, count(*) from few join hits using (point) group by cut, cluster_id, rule
   union all select cut, cluster_id, point, coalesce(rules, ''), d2 from far left join words using (point)
   union all select cut, cluster_id, point, '+' || doc_id, null from few join (select distinct point, doc_id from li) using (point))
-select cut, cluster_id, point, name, round(value, 8) as value from told"""
+select cut, cluster_id, point, name, round(value + 1e-11, 8) as value from told"""
         ),
     ),
     "cluster_sizes_file": (cluster_sizes_file, _sql("select cast(cut as double) as cut, cluster_id, size, density from cutn")),
@@ -434,7 +434,7 @@ select cut, cluster_id, point, name, round(value, 8) as value from told"""
         cut_files,
         _sql(f"""select distinct cast(cut as double) as cut, k.cluster_id, c2.cluster_id as node, n.size, round(n.density, 6) as density, n.parent_id
 from cutn k join chain c using (cluster_id) join chain c2 on c2.point = c.point and c2.level <= c.level
-join nodes n on n.cluster_id = c2.cluster_id where cut = {REPORT_CUTS[1]}"""),
+join nodes n on n.cluster_id = c2.cluster_id where cut = {REPORT_CUTS[0]}"""),
     ),
     "trend_files": (
         trend_files,

@@ -32,7 +32,7 @@ from topicloom.llm.batches import slices
 from topicloom.scale import checkpoint, ship_with_tasks
 
 SLICE_BYTES = 1 << 20  # text in work at a time; encodings take about a hundred bytes a token
-KEPT_WORDS = 400_000  # words that a task remembers before it starts anew
+KEPT_WORDS = 150_000  # words that a task remembers before it starts anew
 
 # A space between two characters that are neither white space nor the mark that stands for a space in pieces.
 BETWEEN_WORDS = re.compile("(?<=[^\\s\u2581]) (?=[^\\s\u2581])")

@@ -411,7 +411,7 @@ def digest_links(documents: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = shared.value
         aligner, seen, words = _Aligner(a, b), _Counter(), _words(a, b)
-        wide = _multiplier(b)
+        wide, number = _multiplier(b), _number(a, b)
         ids = pa.null()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -420,13 +420,13 @@ def digest_links(documents: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
                 links, starts = _links(made)
                 seen.add(links)
                 n_a, n_b = (pc.list_value_length(made.column(c)).cast(pa.int64()) for c in ("ids_a", "ids_b"))
-                packed = ((links >> 32) * wide + (links & 0xFFFFFFFF)).astype(np.int64)
+                packed = ((links >> 32) * wide + (links & 0xFFFFFFFF)).astype(number)
                 listed = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(packed))
                 none = pa.nulls(made.num_rows, pa.int64())
                 columns = [part.column("doc_id"), n_a, n_b, pa.array(np.diff(starts)), pa.array(_digests(made, words), pa.string()), listed, none, none]
                 yield pa.RecordBatch.from_arrays(columns, names)
         count = len(seen.pairs)
-        blank = [pa.nulls(count, t) for t in (ids, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))]
+        blank = [pa.nulls(count, t) for t in (ids, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.from_numpy_dtype(number)))]
         if count:
             yield pa.RecordBatch.from_arrays([*blank, pa.array(seen.pairs), pa.array(seen.counts)], names)
 
@@ -446,9 +446,10 @@ def digest_links(documents: DataFrame, a: Tokenizer, b: Tokenizer) -> DataFrame:
             yield pa.RecordBatch.from_arrays([told[c] for c in result], result)
 
     counts = "n_a long, n_b long, n_groups long"
+    links = "int" if _number(a, b) is np.int32 else "long"
     made = checkpoint(
         documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-            encode, f"doc_id {kind}, {counts}, groups_sha256 string, links array<long>, pair long, n long"
+            encode, f"doc_id {kind}, {counts}, groups_sha256 string, links array<{links}>, pair long, n long"
         )
     )
     table = _summed_pairs(made.where("pair is not null").select("pair", "n")).toArrow()  # at most most_pairs(a, b) rows
@@ -466,4 +467,9 @@ def _multiplier(b: Tokenizer) -> int:
     return len(b.load()[1])
 
 
+def _number(a: Tokenizer, b: Tokenizer) -> type:
+    """The numbers of pairs take half the room where both vocabularies are small enough."""
+    return np.int32 if len(a.load()[1]) * _multiplier(b) < 1 << 31 else np.int64
+
+
 ship_with_tasks(__name__)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from topicloom.checks import tree as T
 from topicloom.operators import tree as G
 
 NODES = "cluster_id long, size long, density double, parent_id long, left_id long, right_id long"
@@ -79,3 +80,44 @@ def test_sweep():
     # steps add up in doubles, so the tenth lies just below 0.5
     cuts = G.sweep(0.05, 0.5)
     assert len(cuts) == 11 and cuts[-1] == 2.0 and cuts[0] == 0.05 and 0.49 < cuts[9] < 0.5
+
+
+def _order_nodes(orders):
+    """The same tree by brute force over all levels."""
+    keys = {}
+    for key, price in orders:
+        keys.setdefault(key, []).append(price)
+    top = max(k for k in keys if k is not None).bit_length()
+    groups = {(0, k): [k] for k in keys}
+    for level in range(1, top + 1):
+        for prefix in {k >> level for k in keys if k is not None}:
+            below = [k for k in keys if k is not None and k >> level == prefix]
+            if len({(k >> (level - 1)) & 1 for k in below}) == 2:
+                groups[level, prefix] = below
+    nodes = {}
+    for (level, prefix), below in groups.items():
+        prices = [p for k in below for p in keys[k] if p is not None]
+        up = [] if prefix is None else [at for at in range(level + 1, top + 1) if (at, prefix >> (at - level)) in groups]
+        parent = up[0] * T.SHIFT + (prefix >> (up[0] - level)) if up else None
+        nodes[None if prefix is None else level * T.SHIFT + prefix] = (
+            sum(len(keys[k]) for k in below), max(prices) - min(prices) if prices else None, parent
+        )
+    return nodes
+
+
+def test_order_tree_merges_blocks_without_a_row_per_level(spark, tmp_path, monkeypatch):
+    orders = [(k, float(k % 7)) for k in (0, 1, 2, 3, 5, 8, 9, 64, 65, 200, 201, 203, 1000, 4095)]
+    orders += [(5, 50.0), (9, None), (70, None), (None, 1.0), (None, 4.0)]
+    path = str(tmp_path)
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{path}/orders.parquet")
+    plans, write = [], T.checkpoint
+    monkeypatch.setattr(T, "checkpoint", lambda df: (plans.append(df._jdf.queryExecution().toString()), write(df))[1])
+    for bits in (3, 16):
+        monkeypatch.setattr(T, "BLOCK_BITS", bits, raising=False)
+        nodes = T.order_tree(spark, path).collect()
+        got = {r["cluster_id"]: (r["size"], r["density"], r["parent_id"]) for r in nodes}
+        assert len(nodes) == len(got) and got == _order_nodes(orders)
+        for r in nodes:
+            if r["left_id"] is not None:
+                assert got[r["left_id"]][2] == got[r["right_id"]][2] == r["cluster_id"]
+    assert plans and not any("Generate" in p for p in plans)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from check_queries import normal
-from topicloom.checks import reports
+from topicloom.checks import clustering, reports
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp"
 
@@ -41,3 +41,8 @@ def same_as_sql(spark, path, queries, name, tables):
 @pytest.mark.parametrize("name", ["cluster_versions", "cluster_files", "cluster_dates", "cluster_originals"])
 def test_originals_of_two_points_with_one_id(spark, small, name):
     same_as_sql(spark, small, reports.QUERIES, name, ["orders", "lineitem"])
+
+
+def test_kmeans_step_tells_sizes(spark, small):
+    made = same_as_sql(spark, small, clustering.QUERIES, "kmeans_step", ["embeddings"])
+    assert {r["child"]: r["n"] for r in made.collect()} and "n" in made.columns

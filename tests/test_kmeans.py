@@ -117,3 +117,19 @@ def test_copies_and_single_points_end(spark):
 def test_no_points(spark):
     made = K.bisect(spark.createDataFrame([], "point long, v array<double>"))
     assert made.members.count() == made.clusters.count() == made.restarts.count() == 0
+
+
+def test_restarts_of_a_parent_that_fits_in_a_task_take_no_job_per_step(spark, monkeypatch):
+    rows = [(1 + k % 2, k, [float(k % 5), float(k * 7 % 11), float(k * k % 13)]) for k in range(90)]
+    points = spark.createDataFrame(rows, "parent long, point long, v array<double>")
+    first = checkpoint(K.seeds(points, 2, 42))
+
+    def trained():
+        made = K.train(K.in_cells(points, tries=2, cell_rows=30), first, 10).collect()
+        return {(r["parent"], r["try"]): ([round(x, 9) for x in [*r["c0"], *r["c1"], r["rss"]]], r["converged"]) for r in made}
+
+    with monkeypatch.context() as m:
+        m.setattr(K, "lloyd_step", None)
+        whole = trained()
+    monkeypatch.setattr(K, "WHOLE_BYTES", 0, raising=False)
+    assert len(whole) == 4 and whole == trained()

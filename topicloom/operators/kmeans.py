@@ -4,7 +4,8 @@ Every cluster of a level splits in two; the children of cluster c are 2c and 2c
 into cells once: a large parent is sliced over several cells, small parents share one. In a step only centres move:
 a parent's centres go to the cells that hold its points, every cell gives back one row of partial sums for each
 parent and restart, and these are added up. Where a cell holds all points of a parent, it takes the steps up to the
-next check before it gives back its sums. Nothing is sent to all tasks and no point leaves its cell.
+next check before it gives back its sums. Nothing is sent to all tasks and no point leaves its cell. Restarts of parents
+that are many points, but fit in a task, are trained to their end in a task each, so their steps are no jobs.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ LEVELS, TRIES, MAX_STEPS, CHECK_EVERY, DELTA, SEED_POINTS = 32, 10, 100, 5, 0.01
 # Vectors, of points and centres, that a cell holds on average.
 CELL_ROWS = 16_384
 
+# Points from which a restart of a parent is worth a task of its own, restarts that are so whatever their points, and bytes
+# of its vectors that the task may hold.
+WHOLE_LEAST, WHOLE_COUNT, WHOLE_BYTES = 512, 10_000, 128 << 20
+
 # Sums of doubles depend on their order in the last digits; what is this much smaller is no difference.
 NOISE = 1e-9
 
@@ -40,12 +45,11 @@ STATE = "struct<r0:double,c0:array<double>,r1:double,c1:array<double>>"
 
 @dataclass(frozen=True)
 class Cells:
-    """``points(cell, parent, point, v)`` bucketed by cell, and ``slices(parent, slices)``, the cells of each parent."""
+    """``points(cell, parent, point, v)`` bucketed by cell, and ``slices(parent, slices, size)``, the cells of each parent."""
 
     points: DataFrame
     slices: DataFrame
     count: int
-    most: int  # slices of a parent
 
     def at(self, parent: Column, part: Column) -> Column:
         return _cell(parent, part, self.count)
@@ -60,12 +64,12 @@ def in_cells(points: DataFrame, sizes: DataFrame | None = None, tries: int = 1,
     if sizes is None:
         sizes = points.groupBy("parent").agg(F.count("*").alias("size"))
     slices = checkpoint(sizes.select("parent", F.ceil(F.col("size") / cell_rows).cast("int").alias("slices"), "size"))
-    parents, rows, most = slices.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("slices"), F.lit(0))).first()
+    parents, rows = slices.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     cores = points.sparkSession.sparkContext.defaultParallelism
     count = max(1, -(-(rows + 2 * tries * parents) // cell_rows), min(cores, rows // 512))
     part = F.pmod(F.xxhash64("point"), F.col("slices"))
     dealt = points.join(slices.drop("size"), "parent").select(_cell(F.col("parent"), part, count).alias("cell"), "parent", "point", "v")
-    return Cells(checkpoint_by(dealt, "cell", count), slices.drop("size"), count, most)
+    return Cells(checkpoint_by(dealt, "cell", count), slices, count)
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -261,6 +265,52 @@ def _settled(states: Column, delta: float) -> Column:
     return F.coalesce(same, F.lit(True)) | (before <= (1 + delta) * gain + NOISE * s[2]["r"])
 
 
+def _no_gain(states: list[tuple[float, np.ndarray]]) -> bool:
+    """:func:`_settled` for the three states (RSS, centre) of a child in a task."""
+    (r0, c0), (r1, c1), (r2, _) = sorted(states, key=lambda s: (s[0], s[1].tolist()))
+    missing = np.isnan(c0).any() or np.isnan(c1).any()
+    return bool(missing or ((c0 - c1) ** 2).sum() <= NOISE * NOISE * (c0 @ c0) or r2 - r1 <= (1 + DELTA) * (r1 - r0) + NOISE * r2)
+
+
+def _all_steps(max_steps: int, check_every: int):
+    """Task that trains one restart of a parent, whose points are all there, to its end."""
+
+    def task(points: pa.Table, centers: pa.Table) -> pa.Table:
+        if centers.num_rows == 0 or points.num_rows == 0:
+            return pa.table({f.name: pa.array([], f.type) for f in WHOLE})
+        x = _matrix(points["v"], points.num_rows)
+        _, _, both = _centers(centers, x.shape[1])
+        both, past, settled = [c[0] for c in both], [], False
+        for step in range(1, max_steps + 1):
+            side, d2 = _sides(x, *both)
+            n = np.bincount(side, minlength=2)
+            rss = np.bincount(side, d2, minlength=2).tolist()
+            both = [(side == k).astype(np.float64) @ x / n[k] if n[k] else both[k] for k in (0, 1)]
+            past = [*past[-2:], (rss, both)]
+            if step % check_every == 0 and len(past) == 3 and all(_no_gain([(r[k], c[k]) for r, c in past]) for k in (0, 1)):
+                settled = True
+                break
+        told = [None if np.isnan(c).any() else c.tolist() for c in both]
+        return pa.table(
+            {
+                "parent": centers["parent"], "try": centers["try"], "c0": pa.array([told[0]], DOUBLES), "c1": pa.array([told[1]], DOUBLES),
+                "rss": [sum(rss)], "converged": [settled],
+            }
+        )
+
+    return task
+
+
+WHOLE = pa.schema([("parent", pa.int64()), ("try", pa.int32()), ("c0", DOUBLES), ("c1", DOUBLES), ("rss", pa.float64()), ("converged", pa.bool_())])
+
+
+def _train_whole(cells: Cells, first: DataFrame, max_steps: int, check_every: int) -> DataFrame:
+    turns = first.select(F.col("parent").alias("parent"), F.col("try").alias("try"))
+    points = cells.points.select("parent", "v").join(turns, "parent").groupBy("parent", "try")
+    schema = "parent long, try int, c0 array<double>, c1 array<double>, rss double, converged boolean"
+    return points.cogroup(first.groupBy("parent", "try")).applyInArrow(_all_steps(max_steps, check_every), schema)
+
+
 def _of_slices(cells: Cells, centers: DataFrame, which: str) -> DataFrame:
     return centers.join(cells.slices.where(which).select("parent"), "parent", "left_semi")
 
@@ -268,14 +318,22 @@ def _of_slices(cells: Cells, centers: DataFrame, which: str) -> DataFrame:
 def train(cells: Cells, first: DataFrame, max_steps: int = MAX_STEPS, check_every: int = CHECK_EVERY) -> DataFrame:
     """Lloyd steps from the first centres until every (parent, try) has converged: ``(parent, try, c0, c1, rss, converged)``.
 
-    The steps between two checks are one job: one pass for parents that lie in one cell, a pass a step for larger ones. Converged parents and tries leave the loop. Of ``max_steps`` the last ones
+    Parents that are worth a task and fit in it are trained in one job. For the others the steps between two checks are one job: one
+    pass for parents that lie in one cell, a pass a step for larger ones. Converged parents and tries leave the loop. Of ``max_steps`` the last ones
     that make no whole round of ``check_every`` are taken without a check.
     """
-    current, done, old = without_past(first), [], None
+    dims, restarts_ = first.select(F.max(F.size("c0")), F.count("*")).first()
+    least = WHOLE_LEAST if restarts_ > WHOLE_COUNT else 1
+    whole = checkpoint(cells.slices.where(F.col("size").between(least, WHOLE_BYTES // (8 * (dims or 1)))).select("parent"))
+    done = [checkpoint(_train_whole(cells, first.join(whole, "parent", "left_semi"), max_steps, check_every))]
+    current = checkpoint(without_past(first.join(whole, "parent", "left_anti")))
+    if current.isEmpty():
+        return done[0]
+    sliced_left = not _of_slices(cells, current, "slices > 1").isEmpty()
     for step in range(0, max_steps, check_every):
         steps = min(check_every, max_steps - step)
         moved = lloyd_step(cells, _of_slices(cells, current, "slices = 1"), steps)
-        if cells.most > 1:
+        if sliced_left:
             sliced = _of_slices(cells, current, "slices > 1")
             for _ in range(steps):
                 sliced = lloyd_step(cells, sliced)

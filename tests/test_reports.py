@@ -46,3 +46,8 @@ def test_originals_of_two_points_with_one_id(spark, small, name):
 def test_kmeans_step_tells_sizes(spark, small):
     made = same_as_sql(spark, small, clustering.QUERIES, "kmeans_step", ["embeddings"])
     assert {r["child"]: r["n"] for r in made.collect()} and "n" in made.columns
+
+
+def test_first_merge_takes_one_round(spark, small, monkeypatch):
+    monkeypatch.setattr(clustering.L, "merges", None)
+    same_as_sql(spark, small, clustering.QUERIES, "linkage_first_merge", ["embeddings"])

@@ -51,3 +51,9 @@ def test_kmeans_step_tells_sizes(spark, small):
 def test_first_merge_takes_one_round(spark, small, monkeypatch):
     monkeypatch.setattr(clustering.L, "merges", None)
     same_as_sql(spark, small, clustering.QUERIES, "linkage_first_merge", ["embeddings"])
+
+
+def test_first_merge_of_a_row_that_comes_twice(spark, tmp_path):
+    vectors = [(1, 0, [1.0, 2.0]), (2, 0, [2.0, 1.0]), (5, 0, [4.0, 1.0]), (5, 0, [4.0, 1.0])]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in clustering.linkage_first_merge(spark, str(tmp_path)).collect()] == [(5, 5, 0.0)]

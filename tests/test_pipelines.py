@@ -177,3 +177,13 @@ def test_topics_on_tables(spark):
     best = {r["term"]: r["topic"] for r in made["topic_terms"].groupBy("term").agg(F.max_by("topic", "p").alias("topic")).collect()}
     assert len({best[w] for w in groups[0]}) == 1 and len({best[w] for w in groups[1]}) == 1
     assert best["lock"] != best["socket"]
+
+
+def test_cells_of_topic_training_are_filled():
+    # 500 000 documents and 2 000 000 terms with 6 topics were 62 x 245 cells, each a task in every step
+    doc_blocks, term_blocks = lda.cells_for(6, 500_000, 2_000_000, 100_000_000, 12)
+    assert doc_blocks * term_blocks <= 100
+    for topics in (6, 300):
+        docs, terms = lda.cells_for(topics, 500_000, 2_000_000, 100_000_000, 12)
+        assert max(500_000 / docs, 2_000_000 / terms) * 8 * topics <= lda.CELL_BYTES
+        assert 100_000_000 / (docs * terms) <= lda.CELL_WORDS

@@ -57,3 +57,32 @@ def test_first_merge_of_a_row_that_comes_twice(spark, tmp_path):
     vectors = [(1, 0, [1.0, 2.0]), (2, 0, [2.0, 1.0]), (5, 0, [4.0, 1.0]), (5, 0, [4.0, 1.0])]
     spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in clustering.linkage_first_merge(spark, str(tmp_path)).collect()] == [(5, 5, 0.0)]
+
+
+def test_clusters_share_folders(spark, tmp_path):
+    # 200 pairs of points: a folder and a file for each pair were 200
+    from topicloom.operators import clusters as R
+    from topicloom.operators import tree as G
+    from topicloom.sources import tables as ST
+
+    leaves = [(i, 1, 0.0, 1000 + i // 2, None, None) for i in range(400)]
+    pairs = [(1000 + i, 2, 0.5, None, 2 * i, 2 * i + 1) for i in range(200)]
+    nodes = spark.createDataFrame(leaves + pairs, "cluster_id long, size long, density double, parent_id long, left_id long, right_id long")
+    ST.write_cut(G.cut(nodes, 1.0), G.under_cuts(nodes, [1.0], only_points=False), nodes, f"{tmp_path}/cut")
+    assert len(list((tmp_path / "cut" / "all").glob("*/*/part-*"))) <= 20
+    back = ST.read_cut(spark, f"{tmp_path}/cut").collect()
+    assert sorted((r["cut"], r["cluster_id"], r["node"]) for r in back) == sorted((1.0, 1000 + i, n) for i in range(200) for n in (2 * i, 2 * i + 1, 1000 + i))
+
+    members = G.under_cuts(nodes, [1.0]).withColumnRenamed("node", "point")
+    weights = spark.createDataFrame([(i, 0, 1.0) for i in range(400)], "point long, topic int, p double")
+    index = spark.createDataFrame([(i, i) for i in range(400)], "point long, doc_id long")
+    rules = spark.createDataFrame([], "point long, rule string")
+    facts = [spark.createDataFrame([], f"doc_id long, {c} string") for c in ("version", "date", "path")]
+    sizes, near = G.cut_sweep(nodes, [1.0]), R.point_distances(members, weights)
+    lines = R.documents(sizes, R.report(members, weights, index, *facts, rules), near, R.originals(members, index), rules)
+    ST.write_cluster_documents(lines, sizes, f"{tmp_path}/documents")
+    assert len(list((tmp_path / "documents" / "clusters").glob("*/*/part-*"))) <= 20
+    back = ST.read_cluster_documents(spark, f"{tmp_path}/documents")
+    points = back.where("entry.distance is not null").collect()
+    assert sorted((r["cluster_id"], r["entry"]["point"]) for r in points) == [(1000 + i // 2, i) for i in range(400)]
+    assert "cluster_id" not in back.schema["entry"].dataType.names

@@ -121,3 +121,13 @@ def test_order_tree_merges_blocks_without_a_row_per_level(spark, tmp_path, monke
             if r["left_id"] is not None:
                 assert got[r["left_id"]][2] == got[r["right_id"]][2] == r["cluster_id"]
     assert plans and not any("Generate" in p for p in plans)
+
+
+def test_chains_are_not_shuffled(spark, grid):
+    # the rows of all chains, points x depth, were shuffled to get sizes and the child below
+    import re
+
+    for made in (G.density_trend(grid), G.incremental_chain(grid)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        top = plan[: plan.index("_block")]  # above the join that lays the chains out
+        assert len(re.findall(r"Join|Window|Aggregate", top)) <= 1

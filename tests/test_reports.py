@@ -86,3 +86,22 @@ def test_clusters_share_folders(spark, tmp_path):
     points = back.where("entry.distance is not null").collect()
     assert sorted((r["cluster_id"], r["entry"]["point"]) for r in points) == [(1000 + i // 2, i) for i in range(400)]
     assert "cluster_id" not in back.schema["entry"].dataType.names
+
+
+def test_point_distances_by_lists(spark, small):
+    # a join on topics made a row per member and topic, shuffled twice
+    from topicloom.operators import clusters as R
+
+    same_as_sql(spark, small, reports.QUERIES, "cluster_point_distance", ["orders", "lineitem"])
+    members = spark.createDataFrame([(1.0, 9, p) for p in (1, 2, 3)], "cut double, cluster_id long, point long")
+    rows = [(1, 0, 0.5), (1, 1, 0.5), (2, 0, 1.0), (3, 0, 0.25), (3, 1, 0.25), (3, 2, 0.5), (3, None, 0.5), (4, 0, 1.0)]
+    weights = spark.createDataFrame(rows, "point long, topic int, p double")
+    made = R.point_distances(members, weights)
+    assert "topic" not in "".join(line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    mean = {0: 1.75 / 3, 1: 0.25, 2: 0.5 / 3, None: 0.5 / 3}
+    for r in made.collect():
+        own = {t: p for q, t, p in rows if q == r["point"]}
+        # as before, a weight without a topic counts in both squares and not in the product
+        want = sum(p * p for p in own.values()) + sum(m * m for m in mean.values()) - 2 * sum(p * mean[t] for t, p in own.items() if t is not None)
+        assert r["d2"] == pytest.approx(want)
+    assert made.count() == 3

@@ -182,6 +182,44 @@ def test_passages(frame, texts, few, monkeypatch):
     assert P.repeated_passages(frame.limit(0)).collect() == []
 
 
+def test_large_groups_lose_no_text(spark, monkeypatch):
+    r = random.Random(11)
+    passage, other = some_text(r, 60).split(), some_text(r, 60).split()
+    made = []
+    for i in range(120):  # each changes a word of its own
+        words = list(passage)
+        words[i % 60] = f"other{i}"
+        made.append(" ".join(words) if i % 2 else f"{some_text(r, 30)} {' '.join(words)} {some_text(r, 30)}")
+    made += [f"{some_text(r, 60)} {' '.join(other[:20])} {some_text(r, 60)}" for _ in range(40)]  # too little in common
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    found = []
+    for few, block in ((10_000, 2048), (24, 2048), (1, 16)):
+        monkeypatch.setattr(P, "FEW", few)
+        monkeypatch.setattr(P, "BLOCK", block)
+        found.append({x.doc_id: x.class_id for x in P.repeated_passages(docs).collect()})
+    assert set(found[0]) <= set(found[1]) and set(found[0]) <= set(found[2])
+    assert set(found[1]) == set(found[2]) and len(found[1]) > 100 and max(found[1]) < 120 and set(found[1].values()) == {min(found[1])}
+
+
+def test_forest_connects_what_pairs_connect():
+    r = random.Random(4)
+    rows = []
+    for _ in range(6):
+        base = np.array([r.getrandbits(60) for _ in range(2 * P.TOKENS - 1)], np.uint64)
+        for _ in range(15):
+            changed = base.copy()
+            for _ in range(r.randrange(0, 9)):
+                changed[r.randrange(len(changed))] = r.getrandbits(60)
+            rows.append(changed[r.randrange(0, 20) : len(changed) - r.randrange(0, 20)])
+    contents = list(range(len(rows)))
+    for sides in (np.zeros(len(rows), int), np.arange(len(rows)) % 2):
+        one_side = len(set(sides.tolist())) == 1
+        links = P.forest(contents, rows, sides)
+        near = {(i, j) for i in contents for j in range(i) if (one_side or sides[i] != sides[j]) and P._alike_near(rows[i], rows[j])}
+        assert {(j, i) for i, j in links} <= near and len(links) < len(near)
+        assert classes(len(rows), lambda i, j: (i, j) in near) == classes(len(rows), lambda i, j: (j, i) in links)
+
+
 def test_leaks_at_the_largest_distance():
     r = random.Random(3)
     items = [some_text(r, r.randrange(14, 60)) for _ in range(200)]

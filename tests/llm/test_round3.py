@@ -228,3 +228,25 @@ def test_words_and_grams_by_hand():
     assert np.diff(words.gram_starts)[words.number[0]] == 3 and np.diff(words.gram_starts)[words.number[3]] == 1
     alone = X.split_all(["Ab cd, ab", "", "", "x!", "cd"])
     assert alone.number.tolist() == words.number.tolist() and alone.grams.tolist() == words.grams.tolist()
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    import time
+
+    from topicloom.scale import checkpoint, checkpoint_by
+
+    def left():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split()
+        return {x for x in files if x.startswith("shuffle_")}
+
+    before = left()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    rows = spark.range(1000).selectExpr("id % 7 as k", "id")
+    made = checkpoint(rows.groupBy("k").count()), checkpoint_by(rows, "k", 3)
+    for _ in range(40):  # files go behind the job
+        if not left() - before:
+            break
+        time.sleep(0.25)
+    assert not left() - before
+    assert [t.count() for t in made] == [7, 1000] and spark.conf.get(key) == setting

@@ -268,3 +268,27 @@ def test_leaks(spark):
     assert [(r.doc_id, r.item_id) for r in D.leaks(odd, benchmark.union(spark.createDataFrame([(99, None), (98, ""), (None, "x")], "item_id long, text string"))).collect()] == [(None, items[0][0])]
     assert D.leaks(documents.limit(0), benchmark).collect() == [] == D.leaks(documents, benchmark.limit(0)).collect()
     assert D.without_leaks(odd, benchmark).count() == 2
+
+
+def test_every_link_of_a_large_group_counts(spark, monkeypatch):
+    r = random.Random(23)
+    passage, tail = some_text(r, 60).split(), some_text(r, 60).split()
+    made = []
+    for i in range(60):  # each changes a word of its own
+        words = list(passage)
+        words[i % 60] = f"other{i}"
+        made.append(f"{some_text(r, 10 + i % 7)} {' '.join(words)} {' '.join(tail) if i % 3 == 0 else some_text(r, 30)}")
+    made += [made[0], None, ""]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    tokens, starts = P.tokens_of(made[:60])
+    near = [tokens[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    want = [sum(bool(len(P._runs(near[i], near[j])) and len(P._runs(near[j], near[i]))) for j in range(60) if j != i) for i in range(60)]
+    for few, texts in ((24, 512), (1, 7)):
+        monkeypatch.setattr(P, "FEW", few)
+        monkeypatch.setattr(P, "CELL_TEXTS", texts, raising=False)
+        got = {x.doc_id: x for x in P.repeated_passages(docs).collect()}
+        links = [got[i].n_links - (i == 0) for i in range(60)]
+        assert max(want) > 20 and all(g <= w for g, w in zip(links, want, strict=True)) and sum(links) >= 0.98 * sum(want)
+        assert got[60].n_links == got[0].n_links and got[60].spans == got[0].spans
+        # texts with the same end share it from the passage on
+        assert all(got[i].spans[-1]["last"] >= 10 + i % 7 + 60 + 50 for i in range(0, 60, 3))

@@ -292,3 +292,27 @@ def test_every_link_of_a_large_group_counts(spark, monkeypatch):
         assert got[60].n_links == got[0].n_links and got[60].spans == got[0].spans
         # texts with the same end share it from the passage on
         assert all(got[i].spans[-1]["last"] >= 10 + i % 7 + 60 + 50 for i in range(0, 60, 3))
+
+
+def test_forest_leaves_what_is_joined():
+    r = random.Random(5)
+    base = np.array([r.getrandbits(60) for _ in range(2 * P.TOKENS - 1)], np.uint64)
+    rows, contents = [base] * 6, list(range(6))
+    for sides in (np.zeros(6, int), np.arange(6) % 2):
+        assert P.forest(contents, rows, sides, np.zeros(6, int)) == []
+        assert len(P.forest(contents, rows, sides, np.array([4, 4, 4, 9, 9, 7]))) == 2
+
+
+def test_pairs_that_go_on_are_those_alike_around_a_spot():
+    r = random.Random(9)
+    shared = some_text(r, 55)
+    made = {1: f"{some_text(r, 90)} {shared} {some_text(r, 400)} {shared}", 2: f"{some_text(r, 20)} {shared}", 3: some_text(r, 300)}
+    spots = [[(90, 20), (545, 20)], [(90, 60), (545, 60)], [(10, 5)]]
+    pairs, spans = [(1, 2), (1, 3), (2, 3)], (0, 10_000)
+    rows = [[{"x": x, "y": y, "f": -1, "la": spans[0], "ha": spans[1], "lb": spans[0], "hb": spans[1]} for x, y in some] for some in spots]
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in P._SPOT]))
+    one = lambda side, end: pa.array([made[p[end]] for p in pairs])
+    given = [pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), pa.array(rows, kind)]
+    near = next(P._near_first(iter([pa.RecordBatch.from_arrays([*given, one("a", 0)], names=["a", "b", "spots", "text_a"])])))
+    got = list(P._near_second(iter([pa.RecordBatch.from_arrays([*near.columns, one("b", 1)], names=[*near.schema.names, "text_b"])])))
+    assert [(x["a"], x["b"]) for b in got for x in b.to_pylist()] == [(1, 2)]
